@@ -1,6 +1,6 @@
 """Language identification by compression against per-language zstandard dictionaries.
 
-A text is cut into blocks, each block is compressed once with every language's
+A text is lower-cased and cut into blocks, each block is compressed once with every language's
 raw-content dictionary, and the language with the fewest bytes wins. The
 relative lead over the runner-up is the margin; narrow margins are rejected.
 """
@@ -30,19 +30,25 @@ SAMPLE_CHARS = 8192
 BLOCK_BYTES = 2048
 #: Lead of the winner, as a share of the runner-up's bytes, below which a text is rejected.
 MIN_MARGIN = 0.002
-_LEVEL = 1
+#: Compression level and shortest match; matches of 3 bytes pick up syllables, which level 1 does not.
+_LEVEL, _MIN_MATCH = 6, 3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _compressors(contents: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
     made = {}
     for name in sorted(contents):
+        parameters = zstandard.ZstdCompressionParameters.from_level(_LEVEL, source_size=BLOCK_BYTES, dict_size=len(contents[name]), min_match=_MIN_MATCH, write_content_size=False, write_checksum=False)
         dictionary = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(level=_LEVEL)
-        made[name] = zstandard.ZstdCompressor(level=_LEVEL, dict_data=dictionary, write_checksum=False, write_content_size=False)
+        dictionary.precompute_compress(compression_params=parameters)
+        made[name] = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
     return made
 
 
+def _folded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
+
+
 def _sizes(data: bytes, compressors: dict[str, zstandard.ZstdCompressor]) -> dict[str, int]:
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
     return {name: sum(len(c.compress(b)) for b in blocks) for name, c in compressors.items()}
@@ -65,7 +71,7 @@ class LanguageModel:
             return "und", 0.0, 0.0
         if not self._made:
             self._made.update(_compressors(self.contents))
-        ranked = sorted(_sizes(text.encode("utf-8", "replace"), self._made).items(), key=lambda x: (x[1], x[0]))
+        ranked = sorted(_sizes(_folded(text), self._made).items(), key=lambda x: (x[1], x[0]))
         if len(ranked) == 1:
             return ranked[0][0], 1.0, 1.0
         margin = (ranked[1][1] - ranked[0][1]) / ranked[1][1]
@@ -74,7 +80,7 @@ class LanguageModel:
 
 def _fill(lines: list[str]) -> bytes:
     # The end of a raw dictionary is cheapest to refer to, so the content is cut at its start.
-    return "\n".join(lines).encode("utf-8", "replace")[-DICTIONARY_BYTES:]
+    return _folded("\n".join(lines))[-DICTIONARY_BYTES:]
 
 
 def build_model(rows: list[tuple[str, str]], min_margin: float = MIN_MARGIN) -> LanguageModel:
@@ -89,7 +95,7 @@ def build_model(rows: list[tuple[str, str]], min_margin: float = MIN_MARGIN) ->
     pure = {}
     for lang, group in texts.items():
         lines = [line for text in group for line in text.split("\n") if len(line) >= 40]
-        own = [line for line in lines if min((size, name) for name, size in _sizes(line.encode("utf-8", "replace"), compressors).items())[1] == lang]
+        own = [line for line in lines if min((size, name) for name, size in _sizes(_folded(line), compressors).items())[1] == lang]
         pure[lang] = _fill(own) if len(own) * 4 >= len(lines) and own else first[lang]
     return LanguageModel(pure, min_margin)
 
