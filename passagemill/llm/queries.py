@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from passagemill.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from passagemill.llm.language import op10_language_id
+from passagemill.llm.line_dedup import OP7_SQL, op7_line_dedup
+from passagemill.llm.mixing import op1_mix_sources
 from passagemill.llm.ngram_join import OP6_SQL, op6_ngram_jaccard_join
 from passagemill.llm.packing import op9_best_fit_packing
 from passagemill.llm.sharding import op4_shard_documents
 
-QUERIES = {f.__name__: f for f in (op4_shard_documents, op6_ngram_jaccard_join, op8_exact_dedup, op9_best_fit_packing, op10_language_id)}
-ORACLE_SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_shard_documents, op6_ngram_jaccard_join, op7_line_dedup, op8_exact_dedup, op9_best_fit_packing, op10_language_id)}
+ORACLE_SQL = {"op6_ngram_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
