@@ -7,13 +7,26 @@ executor costs a re-read and never a recomputation of earlier stages.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collect the paths written inside the block, to be released once nothing reads them."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +44,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; call it when nothing reads them any more."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables and empty the list."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
