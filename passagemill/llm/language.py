@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.shipping import ship_package
+
 #: Rows per language that the dictionaries are made from, smallest hash of the id first.
 SAMPLE_ROWS = 200
 #: Bytes of raw content per dictionary.
@@ -119,6 +121,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     Equal sizes go to the first language by name. Columns of ``docs`` with the
     added names are replaced.
     """
+    ship_package(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "margin", "rejected")
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)

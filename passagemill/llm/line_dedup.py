@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.shipping import ship_package
 
 #: Bits of each filter, at most and at least; at most 8 MB are broadcast. A fuller filter only passes more suspects.
 MAX_BITS, MIN_BITS = 1 << 26, 1 << 20
@@ -109,6 +110,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     smallest). Null text is one empty line. A text of dropped lines only comes
     back empty. Other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = source.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("\n")) + 1), F.lit(0))).first()[0]
     bits = MIN_BITS

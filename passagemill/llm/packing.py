@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.shipping import ship_package
 
 #: Pieces per partition in the first round; bounds the memory of a packing task.
 PIECES_PER_PARTITION = 20_000
@@ -97,6 +98,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, end_id: int, id_col: str =
     ``ranks_path`` is the vocabulary of the byte-level BPE as ranks; by default
     the one that byte_bpe_50k.json holds, so the ids are the same.
     """
+    ship_package(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.shipping import ship_package
+
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens in the longest segment that the dynamic program considers.
 MAX_TOKENS = 24
@@ -312,6 +314,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     length are read whole; repeated rows are rows like any others; other
     columns are ignored.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     learned = train(training_sentences()) if weights is None else weights
 

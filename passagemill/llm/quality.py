@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import kernels as K
 from passagemill.llm.scratch import materialize
+from passagemill.shipping import ship_package
 
 #: The common words whose shares are compared, by language.
 COMMON_WORDS = {
@@ -84,6 +85,7 @@ def repeated_lines(text: bytes) -> int:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and common (histograms)."""
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     listed = common_words()
     table = _class_table()
@@ -154,6 +156,7 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def judge(statistics: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]], min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Replace the histograms by closest_lang, class_distance, word_distance and diverges (null, null, null, false under the guard)."""
+    ship_package(statistics.sparkSession)
     columns = [c for c in statistics.columns if c not in ("classes", "common")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.shipping import ship_package
 
 #: Labelled rows that the classifier is fitted on at most, smallest hash of the id first.
 TRAINING_ROWS = 20_000
@@ -119,6 +120,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS) -> ToxicityModel:
     """Fit on labelled rows with ``learnable`` (an expression on the id) true; null labels are left out, a repeated label counts as its maximum."""
+    ship_package(docs.sparkSession)
     known = labels.filter(learnable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
@@ -147,6 +149,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     Columns of ``docs`` named score or predicted are replaced.
     """
+    ship_package(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
