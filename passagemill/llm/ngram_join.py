@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from passagemill.llm import kernels as K
 from passagemill.llm.components import connected_components
 from passagemill.llm.scratch import materialize
+from passagemill.shipping import ship_package
 
-#: A shingle found in this many sets of one input partition counts as frequent.
-FREQUENT = 8
+#: A shingle is frequent if partitions that hold it in at least this many sets hold it in so many sets together.
+LOCALLY_REPEATED, FREQUENT = 2, 64
 #: Frequent shingles that are ordered last, the most frequent first; bounds the broadcast to 16 bytes each.
 MAX_FREQUENT = 200_000
 #: Longest prefix column whose pairs are multiplied out.
-LONG_COLUMN = 48
+LONG_COLUMN = 128
+#: Rounds of ordering shingles; another follows while long columns not known to be frequent hold this share of the sets.
+ROUNDS, TOO_MANY = 3, 0.01
 #: Nodes and shingles in one side of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
 #: Node ids that may be broadcast to pick the texts of candidates; beyond, that join shuffles.
@@ -79,8 +82,8 @@ class _FrequentCounter:
         self.keys, self.counts = keys, total
 
 
-def _scan(docs: DataFrame, words: int, frequent: int) -> DataFrame:
-    """Rows (doc_id, n, node), and rows (hot, hits) of shingles frequent in one partition."""
+def _scan(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (doc_id, n, node), and rows (hot, hits) of shingles repeated in one partition."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, seen, doc_type = _FrequentCounter(), set(), None
@@ -97,7 +100,7 @@ def _scan(docs: DataFrame, words: int, frequent: int) -> DataFrame:
             counter.add(fresh)
             empty = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(nodes), empty, empty], names=["doc_id", "n", "node", "hot", "hits"])
-        hot = np.flatnonzero(counter.counts >= frequent)
+        hot = np.flatnonzero(counter.counts >= LOCALLY_REPEATED)
         if len(hot):
             hot = hot[np.argsort(-counter.counts[hot], kind="stable")][:MAX_FREQUENT]
             none = len(hot)
@@ -145,7 +148,7 @@ def _postings(docs: DataFrame, words: int, percent: int, hot: np.ndarray) -> Dat
 
 
 def _column_pairs(postings: DataFrame, percent: int, long_column: int) -> DataFrame:
-    """(a, b, na, nb, chained): pairs of compatible size from short columns; cluster edges, with a row for each member, from long ones."""
+    """(a, b, na, nb, chained, gram): pairs of compatible size from short columns; cluster edges, with a row for each member, from long ones."""
 
     class Emitter:
         def __init__(self):
@@ -160,7 +163,7 @@ def _column_pairs(postings: DataFrame, percent: int, long_column: int) -> DataFr
             if self.leader is None or not self.compatible(self.last, n):
                 self.leader = (n, node)
             self.last = n
-            self.rows.append((self.leader[1], node, self.leader[0], n, True))
+            self.rows.append((self.leader[1], node, self.leader[0], n, True, self.gram))
 
         def add(self, gram: int, n: int, node: bytes) -> None:
             if gram != self.gram:
@@ -184,14 +187,14 @@ def _column_pairs(postings: DataFrame, percent: int, long_column: int) -> DataFr
                 for m, other in self.run[k + 1 :]:
                     if not self.compatible(n, m):
                         break
-                    self.rows.append((node, other, n, m, False) if node < other else (other, node, m, n, False))
+                    self.rows.append((node, other, n, m, False, None) if node < other else (other, node, m, n, False, None))
             self.run, self.leader, self.last = [], None, 0
 
         def batch(self) -> pa.RecordBatch:
-            columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * 5
+            columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * 6
             self.rows = []
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "na", "nb", "chained"])
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "na", "nb", "chained", "gram"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitter, previous = Emitter(), None
@@ -212,7 +215,7 @@ def _column_pairs(postings: DataFrame, percent: int, long_column: int) -> DataFr
         emitter.close()
         yield emitter.batch()
 
-    return postings.mapInArrow(emit, "a binary, b binary, na long, nb long, chained boolean")
+    return postings.mapInArrow(emit, "a binary, b binary, na long, nb long, chained boolean, gram long")
 
 
 def _block_links(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
@@ -313,15 +316,24 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     n_links counts the other rows a row links with, equal texts included.
     Repeated rows and ids are rows like any others. Other columns are ignored.
     """
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = materialize(_scan(docs, words, frequent), "join-scan")
+    scanned = materialize(_scan(docs, words), "join-scan")
     slim = scanned.filter(F.col("hot").isNull()).select("doc_id", "n", "node")
-    hot_rows = scanned.filter(F.col("hot").isNotNull()).groupBy("hot").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "hot").limit(MAX_FREQUENT).collect()
-    hot = np.array([r["hot"] for r in reversed(hot_rows)], dtype=np.int64).view(np.uint64)
-
-    postings = _postings(docs, words, percent, hot).repartition("gram").sortWithinPartitions("gram", "n", "node")
-    pairs = materialize(_column_pairs(postings, percent, long_column), "join-pairs")
-    chained = pairs.filter("chained")
+    hits = scanned.filter(F.col("hot").isNotNull()).groupBy("hot").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= frequent)
+    counts = {r["hot"]: r["hits"] for r in hits.orderBy(F.desc("hits"), "hot").limit(MAX_FREQUENT).collect()}
+    sets = slim.count()
+    for round_no in range(ROUNDS):
+        hot = np.array(sorted(counts, key=lambda g: (counts[g], g)), dtype=np.int64).view(np.uint64)
+        postings = _postings(docs, words, percent, hot).repartition("gram").sortWithinPartitions("gram", "n", "node")
+        pairs = materialize(_column_pairs(postings, percent, long_column), "join-pairs")
+        chained = pairs.filter("chained")
+        # Long columns outside the frequent shingles join unlike texts: their shingles are ordered last in another round.
+        long = chained.groupBy("gram").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "gram").limit(MAX_FREQUENT)
+        fresh = {r["gram"]: r["rows"] for r in long.collect() if r["gram"] not in counts}
+        if round_no == ROUNDS - 1 or sum(fresh.values()) <= TOO_MANY * sets:
+            break
+        counts = dict(sorted((counts | fresh).items(), key=lambda x: (-x[1], x[0]))[:MAX_FREQUENT])
     counted = pairs.filter(~F.col("chained")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     columns = materialize(chained.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("long")), "join-long")
     for side in "ab":
