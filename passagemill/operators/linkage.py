@@ -65,7 +65,7 @@ def mark_duplicates(rows: DataFrame, group: str = "paper_id") -> DataFrame:
 def choose_copies(rows: DataFrame, group: str = "first") -> DataFrame:
     """(group, best): the copy with the best (citable, source rank, paragraphs, is first)."""
     rank = F.when(F.col("source") == "jats", 2).when(F.col("source") == "grobid", 1).otherwise(0)
-    return rows.groupBy(group).agg(F.max_by("source_file", F.struct("citable", rank, "paragraphs", F.col("source_file") == F.col(group), F.col("source_file"))).alias("best"))
+    return rows.groupBy(group).agg(F.max_by("source_file", F.struct("citable", rank, "paragraphs", F.col("source_file").cast("string") == F.col(group).cast("string"), F.col("source_file"))).alias("best"))
 
 
 def title_containment(title: Column, body: Column, common: list[str]) -> Column:
