@@ -9,6 +9,7 @@ counted, so a false positive costs a little traffic and no wrong answer.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ from passagemill.shipping import ship_package
 MAX_BITS, MIN_BITS = 1 << 26, 1 << 20
 #: Bits per line aimed at, and hash functions.
 BITS_PER_LINE, HASHES = 12, 3
+#: Repeated keys, a 16-byte digest and an id each, that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 #: Bytes of a filter that are merged together.
 _SEGMENT = 1 << 16
 _WHITE = " \t\n\x0b\x0c\r"
@@ -101,7 +104,7 @@ def _filters(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return result
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (the lines that stay, joined by newlines).
 
     A line's key (``line_key``) of at least ``min_chars`` code points found in
@@ -119,38 +122,76 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     shared = source.sparkSession.sparkContext.broadcast(_filters(source, bits, min_chars))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, uid = np.unpackbits(shared.value).astype(bool), TaskContext.get().partitionId() << 36
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            uids, counts, suspects = [], [], []
-            for text in batch.column("text").to_pylist():
-                keyed = _keys(text, min_chars)
-                hit = seen[_positions([k for _, k in keyed], bits)].all(axis=1) if keyed else ()
-                found = [{"line": n, "key": key} for (n, key), h in zip(keyed, hit, strict=True) if h]
-                uids.append(uid)
-                counts.append((text or "").count("\n") + 1)
-                suspects.append(found)
-                uid += 1
-            kind = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(suspects, kind)], names=["uid", "doc_id", "text", "n_lines", "suspects"])
+            rows, keys = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                own = list({key for _, key in _keys(text, min_chars)})
+                if own:
+                    hits = [key for key, hit in zip(own, seen[_positions(own, bits)].all(axis=1), strict=True) if hit]
+                    rows += [n] * len(hits)
+                    keys += hits
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["doc_id", "key"])
 
-    marked = source.mapInArrow(split, f"uid long, doc_id {id_type}, text string, n_lines long, suspects array<struct<line:int,key:string>>")
-    marked = materialize(marked, "lines-marked")
-    suspects = marked.filter(F.size("suspects") > 0).select("uid", "doc_id", F.explode("suspects").alias("s")).select("uid", "doc_id", "s.line", "s.key")
     # A row counts once for a key; the map side adds up before anything is shuffled.
-    per_row = marked.filter(F.size("suspects") > 0).select("doc_id", F.explode(F.array_distinct(F.transform("suspects", lambda s: s["key"]))).alias("key"))
-    repeated = per_row.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last")).filter(F.col("rows") >= min_docs).select("key", "last")
-    gone = suspects.join(repeated, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    gone = materialize(gone.groupBy("uid").agg(F.collect_list("line").alias("gone")), "lines-gone")
+    found = source.mapInArrow(suspects, f"doc_id {id_type}, key string").groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last"))
+    repeated = materialize(found.filter(F.col("rows") >= min_docs).select("key", F.unhex(F.md5("key")).alias("digest"), "last"), "lines-repeated")
+    if repeated.count() <= broadcast_keys:
+        return _drop_by_set(source, repeated, min_chars)
+    return _drop_by_join(source, repeated, min_chars)
+
+
+_RESULT = ["doc_id", "n_lines", "n_dropped", "text"]
+
+
+def _drop_by_set(source: DataFrame, repeated: DataFrame, min_chars: int) -> DataFrame:
+    """Each task drops lines by a set of digests that all tasks hold: no text is shuffled."""
+    table = repeated.select("digest", "last").toArrow()
+    held = source.sparkSession.sparkContext.broadcast(dict(zip(table["digest"].to_pylist(), table["last"].to_pylist(), strict=True)))
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, absent = held.value, object()
+        for batch in batches:
+            counts, dropped, texts = [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text or ""
+                gone = set()
+                for n, key in _keys(text, min_chars):
+                    keeper = last.get(hashlib.md5(key.encode("utf-8", "surrogatepass")).digest(), absent)
+                    if keeper is not absent and keeper != doc_id:
+                        gone.add(n)
+                counts.append(text.count("\n") + 1)
+                dropped.append(len(gone))
+                texts.append("\n".join(line for n, line in enumerate(text.split("\n")) if n not in gone) if gone else text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], names=_RESULT)
+
+    return source.mapInArrow(drop, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, text string")
+
+
+def _drop_by_join(source: DataFrame, repeated: DataFrame, min_chars: int) -> DataFrame:
+    """For any number of repeated keys: lines of long keys meet them in a join, and the numbers of the dropped lines go back to their rows."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            keyed = [[{"line": n, "key": key} for n, key in _keys(text, min_chars)] for text in batch.column("text").to_pylist()]
+            kind = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(uid, uid + len(keyed)), pa.int64()), batch.column("doc_id"), batch.column("text"), pa.array(keyed, kind)], names=["uid", "doc_id", "text", "keyed"])
+            uid += len(keyed)
+
+    numbered = source.mapInArrow(number, f"uid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, keyed array<struct<line:int,key:string>>")
+    numbered = materialize(numbered, "lines-numbered")
+    lines = numbered.select("uid", "doc_id", F.explode("keyed").alias("s")).select("uid", "doc_id", "s.line", "s.key")
+    gone = lines.join(repeated.select("key", "last"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("uid").agg(F.collect_list("line").alias("gone"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(line for n, line in enumerate((t or "").split("\n")) if n not in g) for t, g in zip(text, (set(x) for x in gone), strict=True)], dtype=object)
 
-    whole = marked.filter(F.size("suspects") == 0).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = marked.filter(F.size("suspects") > 0).drop("suspects").join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    cut = cut.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(without("text", "gone")).alias("text"))
-    return whole.unionByName(cut)
+    rows = numbered.drop("keyed").join(gone, "uid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    lines_of = (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).cast("long")
+    return rows.select("doc_id", lines_of.alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), without("text", "gone").alias("text"))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
