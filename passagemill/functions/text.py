@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,3 +163,21 @@ def is_current(source: Column, line_start: Column, line_end: Column, stored: Col
     """Whether lines start..end of ``source`` still have the stored fingerprint."""
     lines = F.slice(F.split(source, "\n"), line_start, line_end - line_start + 1)
     return fingerprint(F.array_join(lines, "\n")) == stored
+
+
+def document_of(paper: Column, note: Column, section: Column) -> Column:
+    """What a chunk is read in: its paper, its note, or the chapter that its section begins with."""
+    return F.coalesce(paper, note, F.split(section, " > ")[0])
+
+
+def escape_html(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def highlight(text: Column, terms: list[str]) -> Column:
+    """Text as HTML with whole words of ``terms`` marked in any case. The words are framed before escaping, so that no entity is cut."""
+    if not terms:
+        return escape_html(text)
+    words = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    framed = F.regexp_replace(text, rf"(?i)(?<![a-z0-9])({words})(?![a-z0-9])", "\ue000$1\ue001")
+    return F.replace(F.replace(escape_html(framed), F.lit("\ue000"), F.lit("<mark>")), F.lit("\ue001"), F.lit("</mark>"))

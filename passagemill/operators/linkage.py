@@ -80,10 +80,10 @@ def library_keys(papers: DataFrame) -> DataFrame:
 
 
 def make_pairs(sentences: DataFrame, keys: DataFrame) -> DataFrame:
-    """Test pairs (chunk_id, position, query, key): sentences citing one library key, the first of equal (query, key)."""
+    """Test pairs (chunk_id, position, query, key, numbers): sentences citing one library key, the first of equal (query, key)."""
     single = sentences.filter(F.size("keys") == 1).withColumn("folded", F.lower(F.col("keys")[0])).join(keys, "folded")
     first = Window.partitionBy("text", "key").orderBy("pos", "position")
-    return single.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("chunk_id", "position", F.col("text").alias("query"), "key")
+    return single.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("chunk_id", "position", F.col("text").alias("query"), "key", T.numbers(F.col("text")).alias("numbers"))
 
 
 def set_equality(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.operators import chunking, evaluation, lexical, linkage, ranking, vectors
-from passagemill.sources import readers
+from passagemill.sources import articles, latex, readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -508,3 +508,103 @@ def markdown_pages(spark, sf_dir):
     marked = F.concat(F.lit("# Title\n- Year: 2001\n## Extracted Full Text\n## Page 1\n"), "text", F.lit("\n## Page 2\n"), "text")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(readers.pages(marked)).alias("n", "page"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.md5("page").alias("page_md5"))
+
+
+# ---- grids of configurations ------------------------------------------------------------------------------------
+
+CONFIGURATIONS = [("bm25",), ("dense",), ("bm25", "dense")]
+_CONFIGS = f"""{_BM25}, {_DENSE}, {_RRF},
+cr AS MATERIALIZED (SELECT 0 AS config_no, 'bm25' AS config, query_id, pos, rank FROM bm UNION ALL SELECT 1, 'dense', query_id, pos, rank FROM dn UNION ALL SELECT 2, 'bm25+dense', query_id, pos, rank FROM rrf)"""
+_GRID = f"""{_CONFIGS}, {_ANSWERS},
+cp AS (SELECT config_no, config, item_id AS query_id, min(rank) AS place FROM (SELECT DISTINCT config_no, config FROM cr), benchmark b LEFT JOIN (SELECT cr.config_no AS c, cr.query_id AS q, rank FROM cr JOIN ans USING (query_id, pos)) ON c = config_no AND q = item_id GROUP BY ALL),
+gv AS MATERIALIZED (SELECT config_no, config, query_id, unnest(['hit@1', 'hit@5', 'mrr']) AS metric, unnest([CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END, CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END, CASE WHEN place <= 10 THEN 1.0::DOUBLE / place ELSE 0.0 END]::DOUBLE[]) AS value FROM cp)"""
+
+
+def _configurations(spark, sf_dir):
+    by_words = lexical.bm25(chunk_table(spark, sf_dir), query_table(spark, sf_dir))
+    by_vector = ranking.dense(vector_table(spark, sf_dir), vector_queries(spark, sf_dir))
+    return ranking.configurations({"bm25": by_words, "dense": by_vector}, CONFIGURATIONS)
+
+
+def _grid_values(spark, sf_dir):
+    """(config_no, config, query_id, metric, value) of every configuration and query."""
+    named = F.explode(F.array(*(F.struct(F.lit(n).alias("config_no"), F.lit("+".join(c)).alias("config")) for n, c in enumerate(CONFIGURATIONS))))
+    asked = query_table(spark, sf_dir).select("query_id", named.alias("c")).select("query_id", "c.*")
+    right = _configurations(spark, sf_dir).join(_answers(spark, sf_dir), ["query_id", "pos"])
+    found = right.groupBy("config_no", "config", "query_id").agg(F.min("rank").alias("place"))
+    return evaluation.metric_values(asked.join(found, ["config_no", "config", "query_id"], "left"))
+
+
+@query(f"WITH {_CONFIGS} SELECT config, query_id, pos, rank FROM cr")
+def config_rankings(spark, sf_dir):
+    return _configurations(spark, sf_dir).select("config", "query_id", "pos", "rank")
+
+
+@query(f"""WITH {_GRID}, g AS (SELECT a.config, a.metric, a.query_id, a.value - b.value AS value FROM gv a JOIN gv b USING (query_id, metric) WHERE b.config = 'bm25' AND a.config <> 'bm25'),
+v AS (SELECT config, metric, value, row_number() OVER (PARTITION BY config, metric ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY config, metric) AS n FROM g),
+d AS (SELECT r, k, ('0x' || substr(md5(r || '-' || k), 1, 8))::BIGINT AS h FROM range(1000) t(r), range((SELECT count(*) FROM benchmark)) s(k)),
+m AS (SELECT config, metric, r, avg(value) AS mean FROM d JOIN v ON v.i = d.h % v.n GROUP BY config, metric, r)
+SELECT config, metric, round((SELECT avg(value) FROM g x WHERE x.metric = m.metric AND x.config = m.config), 9) AS mean, round(quantile_cont(m.mean, 0.025), 9) AS low, round(quantile_cont(m.mean, 0.975), 9) AS high FROM m GROUP BY config, metric""")
+def paired_difference(spark, sf_dir):
+    return evaluation.paired_difference(_grid_values(spark, sf_dir), "bm25")
+
+
+@query(f"WITH {_GRID} SELECT config, round(avg(value), 9) AS mrr FROM gv WHERE metric = 'mrr' AND contains(config, '+') GROUP BY config_no, config ORDER BY mrr DESC, config_no LIMIT 1")
+def best_config(spark, sf_dir):
+    return evaluation.best_configuration(_grid_values(spark, sf_dir))
+
+
+@query(f"WITH {_BM25}, {_DENSE}, {_RRF}, {_RR.replace('f.rank <= 50', 'f.rank <= 100')} SELECT depth, query_id, pos, row_number() OVER (PARTITION BY depth, query_id ORDER BY before > depth, CASE WHEN before <= depth THEN score END DESC, before) AS rank FROM rr, (VALUES (20), (50), (100)) d(depth)")
+def rerank_depths(spark, sf_dir):
+    return ranking.rerank_depths(_fused(spark, sf_dir), query_table(spark, sf_dir), chunk_table(spark, sf_dir))
+
+
+@query()
+def number_share(spark, sf_dir):
+    asked = query_table(spark, sf_dir)
+    chunks = chunk_table(spark, sf_dir).select("pos", F.col("pos").alias("paper"), "text")
+    answers = _answers(spark, sf_dir).withColumnRenamed("pos", "paper")
+    return evaluation.number_share(lexical.bm25(chunk_table(spark, sf_dir), asked), chunks, answers, asked.select("query_id", T.numbers(F.col("text")).alias("numbers")))
+
+
+# ---- reading in context, articles and books ---------------------------------------------------------------------
+
+
+@query("SELECT doc_id, coalesce(nullif(source, ''), split_part(text, ' > ', 1)) AS document FROM documents")
+def document_of(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.document_of(F.nullif("source", F.lit("")), F.lit(None), F.col("text")).alias("document"))
+
+
+@query()
+def highlight(spark, sf_dir):
+    terms = ["the", "and", "data"]
+    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text"), terms).alias("html"))
+
+
+@query("SELECT doc_id, coalesce(l.quality, 0) AS quality FROM documents JOIN labels l USING (doc_id)")
+def load_vectors(spark, sf_dir):
+    labelled = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    chunks = labelled.join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("pos"), F.sha2(F.concat_ws("-", F.col("doc_id")), 256).alias("text_hash"), F.array(F.coalesce("quality", F.lit(0)).cast("float")).alias("vector"))
+    return vectors.load_vectors(chunks.select("pos", "text_hash"), chunks.select("text_hash", "vector")).select(F.col("pos").alias("doc_id"), F.col("vector")[0].cast("int").alias("quality"))
+
+
+def _as_article(text, doc_id):
+    """A document as the body of a JATS article, a paragraph for each line."""
+    safe = T.escape_html(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    body = F.array_join(F.transform(F.split(safe, "\n"), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "")
+    front = F.concat(F.lit("<front><article-meta><title-group><article-title>"), doc_id.cast("string"), F.lit("</article-title></title-group></article-meta></front>"))
+    return F.concat(F.lit("<article>"), front, F.lit("<body><sec><title>1. Text</title>"), body, F.lit("</sec></body></article>")).cast("binary")
+
+
+@query("SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(regexp_replace(x, '\\s+', '', 'g')) <> '')) AS paragraphs FROM documents")
+def parse_jats(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), _as_article(F.col("text"), F.col("doc_id")).alias("content"))
+    paragraphs = F.flatten(F.transform("sections", lambda s: s["paragraphs"]))
+    return articles.parse_articles(files, "jats").select(F.col("title").cast("long").alias("doc_id"), F.size(paragraphs).alias("paragraphs"))
+
+
+@query()
+def latex_blocks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("book"), F.lit(0).alias("pos"), F.concat(F.lit("chapters/"), F.col("doc_id"), F.lit(".tex")).alias("file"), F.col("text").alias("source"))
+    return latex.latex_passages(files).select(F.col("book").alias("doc_id"), "chunk_id", "kind", "text", "keys")
