@@ -596,7 +596,7 @@ def _as_article(text, doc_id):
     return F.concat(F.lit("<article>"), front, F.lit("<body><sec><title>1. Text</title>"), body, F.lit("</sec></body></article>")).cast("binary")
 
 
-@query("SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(regexp_replace(x, '\\s+', '', 'g')) <> '')) AS paragraphs FROM documents")
+@query("SELECT doc_id, count(*) FILTER (regexp_replace(line, '\\s', '', 'g') <> '') AS paragraphs FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY doc_id")
 def parse_jats(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), _as_article(F.col("text"), F.col("doc_id")).alias("content"))
     paragraphs = F.flatten(F.transform("sections", lambda s: s["paragraphs"]))

@@ -309,5 +309,5 @@ def cited_sentences(passages: DataFrame) -> DataFrame:
     """(book, chunk_id, pos, position, text, keys): sentences of paragraphs with the keys each cites."""
     split = passages.filter("kind = 'paragraph'").select("book", "chunk_id", "n", F.posexplode(T.sentences("marked")).alias("position", "marked"))
     groups = F.regexp_extract_all("marked", F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
-    keys = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), F.trim), lambda k: k != ""))
+    keys = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda k: F.trim(k)), lambda k: k != ""))
     return split.select("book", "chunk_id", F.col("n").alias("pos"), "position", _unmarked(F.col("marked")).alias("text"), keys.alias("keys"))
