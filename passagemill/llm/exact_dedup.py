@@ -15,6 +15,8 @@ from passagemill.llm.scratch import materialize
 PREFIX_CHARS = 128
 #: A table of surviving (length, prefix hash) pairs, 16 bytes each, is broadcast up to this many rows; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Groups of at least this many rows get their decision by broadcast, so that no task holds all their texts.
+HOT_ROWS = 1_000
 
 
 def normalised(text: Column) -> Column:
@@ -22,7 +24,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` plus keep_id, group_size and kept.
 
     Texts are equal when they agree after ``normalised``; null equals empty.
@@ -45,13 +47,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Nulls last: (is null, id, row) orders ids first and settles rows that share one.
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("_first")
-    groups = again.groupBy("_full").agg(first, F.count("*").alias("_size"))
-    decided = again.join(groups, "_full").select(
-        *docs.columns,
-        F.col("_first.id").alias("keep_id"),
-        F.col("_size").cast("long").alias("group_size"),
-        (F.col("_row") == F.col("_first.row")).alias("kept"),
-    )
+    groups = materialize(again.groupBy("_full").agg(first, F.count("*").alias("_size")), "dedup-groups")
+    # As many hot groups as may be broadcast: the largest sizes, each taken whole.
+    sizes = groups.filter(F.col("_size") >= hot_rows).groupBy("_size").agg(F.count("*").alias("_groups")).orderBy(F.desc("_size"))
+    room, least = broadcast_rows, None
+    for row in sizes.limit(broadcast_rows).toLocalIterator():
+        room -= row["_groups"]
+        if room < 0:
+            break
+        least = row["_size"]
+
+    def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, "_full").select(
+            *docs.columns,
+            F.col("_first.id").alias("keep_id"),
+            F.col("_size").cast("long").alias("group_size"),
+            (F.col("_row") == F.col("_first.row")).alias("kept"),
+        )
+
+    if least is None:
+        decided = decide(again, groups)
+    else:
+        hot = F.broadcast(groups.filter(F.col("_size") >= least))
+        cold = again.join(hot.select("_full"), "_full", "left_anti")
+        decided = decide(again, hot).unionByName(decide(cold, groups.filter(F.col("_size") < least)))
     single = alone.select(*docs.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return single.unionByName(decided)
 

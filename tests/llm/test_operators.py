@@ -364,6 +364,10 @@ def test_exact_dedup_by_brute_force(docs, rows, none):
     assert exact_dedup(none).count() == 0
     joined = exact_dedup(docs, prefix_chars=1, broadcast_rows=0).groupBy("kept").count().collect()
     assert {r["kept"]: r["count"] for r in joined} == dict(Counter(r["kept"] for r in got))
+    for options in ({"hot_rows": 2}, {"hot_rows": 3, "broadcast_rows": 1}):
+        split = exact_dedup(docs, **options).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in split) == Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got)
+        assert Counter(r["kept"] for r in split) == Counter(r["kept"] for r in got)
 
 
 # --- 9
