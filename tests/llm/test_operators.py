@@ -414,6 +414,18 @@ def test_packing_round_trip(docs, rows, none, per_partition):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_encodes_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "<|endoftext|>", " <|endoftext|> \n<|endoftext|>é 1", "<|endoftext |>", " " * 1_000_000 + "x", "y" + "\n" * 1_000_000]
+    wanted = {k: [*tokenizer.encode(text, add_special_tokens=False).ids, 2] for k, text in enumerate(texts)}
+    assert wanted[0] == [505, 50256, 11545, 2] and len(wanted[4]) > 1_000_000
+    got = packing.tokenized_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1 << 21, 2).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {k: (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for k, ids in wanted.items()}
+
+
 # --- 10
 
 
