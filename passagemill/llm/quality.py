@@ -31,6 +31,10 @@ COMMON_WORDS = {
 MIN_WORDS = 50
 #: Largest distances that pass; both lie beyond what ordinary prose of any language reaches.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
+#: Word distance that passes at most, as a share of what a text without any common word has from the reference.
+MAX_WORD_SHARE = 0.90
+#: Share of common words in a reference under which it cannot tell texts without them, so only MAX_WORD_DISTANCE holds.
+MIN_COMMON = 0.10
 #: Languages with a reference at most, the most frequent first.
 MAX_LANGUAGES = 64
 _SYMBOLS = b"#*$%&|<>"
@@ -154,6 +158,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(terms / 2, 0, 1))
 
 
+def word_limit(reference: np.ndarray, max_word: float = MAX_WORD_DISTANCE) -> float:
+    """The largest word distance from ``reference`` that passes."""
+    if 1 - reference[-1] < MIN_COMMON:
+        return max_word
+    bare = np.zeros((1, len(reference)))
+    bare[0, -1] = 1
+    return min(max_word, MAX_WORD_SHARE * float(jensen_shannon(bare, reference)[0]))
+
+
 def judge(statistics: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]], min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Replace the histograms by closest_lang, class_distance, word_distance and diverges (null, null, null, false under the guard)."""
     ship_package(statistics.sparkSession)
@@ -161,6 +174,7 @@ def judge(statistics: DataFrame, references: dict[str, tuple[np.ndarray, np.ndar
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(references)
+        limits = np.array([word_limit(references[name][1], max_word) for name in names])
         for batch in batches:
             n = batch.num_rows
             classes = batch.column("classes").flatten().to_numpy().reshape(n, -1).astype(float)
@@ -176,7 +190,7 @@ def judge(statistics: DataFrame, references: dict[str, tuple[np.ndarray, np.ndar
                 w = np.stack([jensen_shannon(shares, references[name][1]) for name in names])
                 closest = (c / max_class + w / max_word).argmin(axis=0)
                 by_class, by_word = c[closest, np.arange(n)], w[closest, np.arange(n)]
-            off = judged & ((by_class > max_class) | (by_word > max_word))
+            off = judged & ((by_class > max_class) | (by_word > (limits[closest] if names else max_word)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in columns), pa.array([names[k] if j else None for k, j in zip(closest, judged, strict=True)], pa.string()), pa.array(by_class, mask=~judged), pa.array(by_word, mask=~judged), pa.array(off)],
                 names=[*columns, "closest_lang", "class_distance", "word_distance", "diverges"],

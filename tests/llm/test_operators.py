@@ -254,6 +254,24 @@ def test_divergent_text_is_rejected(spark):
     assert not got[99]["kept"] and got[99]["class_distance"] > quality.MAX_CLASS_DISTANCE and all(got[k]["kept"] for k in range(40))
 
 
+def test_text_without_common_words_is_rejected(spark):
+    r = random.Random(3)
+    common = [quality.COMMON_WORDS[lang].split() for lang in ("en", "fr")]
+    clean = [(k, " ".join(r.choice(common[k % 2]) if r.random() < 0.22 else r.choice(WORDS) for _ in range(200)), ("en", "fr")[k % 2], "a") for k in range(60)]
+    bare = [(100 + k, prose(200, 300 + k), "en", "a") for k in range(3)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame([*clean, *bare], SCHEMA)).collect()}
+    assert all(got[k]["kept"] for k in range(60))
+    for k in range(100, 103):
+        assert not got[k]["kept"] and not got[k]["base_failed"] and got[k]["class_distance"] <= quality.MAX_CLASS_DISTANCE
+
+
+def test_word_limit_of_a_language_without_listed_words(spark):
+    reference = np.append(np.zeros(len(quality.common_words())), 1.0)
+    assert quality.word_limit(reference) == quality.MAX_WORD_DISTANCE
+    plain = [(k, prose(80, k), "xx", "a") for k in range(20)]
+    assert all(r["kept"] for r in quality.quality_rules(spark.createDataFrame(plain, SCHEMA)).collect())
+
+
 def test_jensen_shannon_bounds():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert quality.jensen_shannon(p, np.array([0.0, 1.0]))[0] == pytest.approx(1) and quality.jensen_shannon(p, np.array([0.5, 0.5]))[1] == 0
