@@ -60,6 +60,17 @@ def test_dense_and_fusion(spark):
     assert [r["pos"] for r in fused] == [2, 3, 1, 4] and fused[0]["score"] == pytest.approx(1 / 62 + 1 / 61)
 
 
+def test_dense_answers_every_block_of_queries(spark, monkeypatch):
+    store = spark.createDataFrame([(k, [float(k == j) for j in range(4)]) for k in range(4)], "pos long, vector array<float>")
+    asked = spark.createDataFrame([(k, [float(k + j == 6) + 0.1 * j for j in range(4)]) for k in range(7)], "query_id long, vector array<float>").repartition(3)
+    whole = {tuple(r) for r in ranking.dense(store, asked, 3).collect()}
+    assert len(whole) == 21
+    for bound in (1, 3, 7):
+        monkeypatch.setattr(ranking, "MAX_QUERY_VECTORS", bound)
+        assert {tuple(r) for r in ranking.dense(store, asked, 3).collect()} == whole
+    assert ranking.dense(store, asked.limit(0)).count() == 0
+
+
 def test_rerank_keeps_ties_and_tail(spark):
     chunks = spark.createDataFrame([(k, t) for k, t in enumerate(("b", "a", "b", "a"))], "pos long, index_text string")
     fused = spark.createDataFrame([(1, k, k + 1) for k in range(4)], "query_id long, pos long, rank long")
