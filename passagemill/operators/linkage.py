@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from passagemill.functions import text as T
 from passagemill.shipping import ship_package
 
 TITLE_SIMILARITY, MIN_TITLE = 0.92, 20
+#: Titles of a block, on average; a block of records is compared with a block of entries in one task, _ROWS records at a time.
+_BLOCK, _ROWS = 4096, 256
+#: Classes that characters are counted in (ASCII ones apart) and the count up to which each class is compared by itself.
+_CHARACTERS, _LEVELS = 128, 32
 
 
 def pick(candidates: DataFrame, by: str) -> DataFrame:
@@ -20,26 +26,82 @@ def pick(candidates: DataFrame, by: str) -> DataFrame:
     return candidates.filter(F.col(by).isNotNull() & (F.col(by) != "")).withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(by, "key")
 
 
+def _common_characters(a: list[str], b: list[str]) -> np.ndarray:
+    """At least the characters that each of ``a`` has in common with each of ``b``, as multisets.
+
+    Counts are written in unary, so that the sum of their minima is a matrix
+    product; what lies beyond _LEVELS of one character is added as one sum.
+    """
+    counts = [np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype="<u4") % _CHARACTERS, minlength=_CHARACTERS) for t in side]) for side in (a, b)]
+    most = np.minimum(np.minimum(counts[0].max(axis=0), counts[1].max(axis=0)), _LEVELS)
+    columns, levels = np.repeat(np.arange(_CHARACTERS), most), np.concatenate([np.arange(1, m + 1) for m in most])
+    unary = [(c[:, columns] >= levels).astype(np.float32) for c in counts]
+    beyond = [np.maximum(c - _LEVELS, 0).sum(axis=1) for c in counts]
+    return np.rint(unary[0] @ unary[1].T).astype(np.int64) + np.minimum.outer(*beyond)
+
+
+def closest_titles(a: list[str], b: list[str], threshold: float) -> list[tuple[str, str, float]]:
+    """(x, y, ratio) for each x of ``a`` and the y of ``b``, all that tie, with its highest ratio of at least ``threshold``."""
+    found, lengths = [], np.array([len(y) for y in b])
+    for low in range(0, len(a), _ROWS):
+        some = a[low : low + _ROWS]
+        bound = 2.0 * _common_characters(some, b) / (np.array([len(x) for x in some])[:, None] + lengths)
+        for x, limits in zip(some, bound, strict=True):
+            near = np.flatnonzero(limits >= threshold)
+            best, ties = threshold, []
+            for k in near[np.argsort(-limits[near], kind="stable")]:
+                if limits[k] < best:
+                    break
+                ratio = SequenceMatcher(None, x, b[k], autojunk=False).ratio()
+                if ratio > best:
+                    best, ties = ratio, []
+                if ratio == best:
+                    ties.append(b[k])
+            found += [(x, y, best) for y in ties]
+    return found
+
+
+def _blocks(titles: DataFrame, band: Column) -> tuple[DataFrame, dict[int, int]]:
+    """Distinct titles with their length band and block, and the number of blocks of each band."""
+    titles = titles.select("title").distinct().withColumn("band", band)
+    blocks = {r["band"]: -(-r["count"] // _BLOCK) for r in titles.groupBy("band").count().collect()}
+    return titles, blocks
+
+
 def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TITLE_SIMILARITY) -> DataFrame:
     """(record, key, ratio): the entry most similar to each title by the Ratcliff-Obershelp ratio, at least ``threshold``.
 
-    The ratio is at most 2 * min(len) / (len + len), so partners lie within a
-    length band; titles this similar share most of their words, and a title of
-    n words that differs in so few characters keeps one of any n - k + 1 words.
-    Candidates therefore meet on a length band and a shared word.
+    The ratio is 2 * matches / (len + len), so partners lie within a length
+    band, here the own or a neighbouring step of a geometric scale, and have at
+    least as many characters in common as the ratio has matches. Every pair of
+    distinct titles of such bands is held against that bound, block by block;
+    the ratio is computed in falling order of the bound until no other entry
+    can reach the best. No similar pair is lost.
     """
     ship_package(records.sparkSession)
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-    left = records.filter(F.length("title") >= MIN_TITLE).select("record", F.col("title").alias("a"), F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    right = entries.select("key", "cited", "pos", F.col("title").alias("b"), F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
-    pairs = left.join(right, "word").filter(2 * F.least(F.length("a"), F.length("b")) >= threshold * (F.length("a") + F.length("b"))).select("record", "a", "key", "cited", "pos", "b").distinct()
-    scored = pairs.withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= threshold)
-    best = Window.partitionBy("record").orderBy(F.desc("ratio"), F.desc("cited"), "pos")
-    return scored.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("record", "key", "ratio")
+    band = F.floor(F.log(F.length("title").cast("double")) / math.log((2 - threshold) / threshold + 1e-6)).cast("int")
+    left, left_blocks = _blocks(records.filter(F.length("title") >= MIN_TITLE), band)
+    right, right_blocks = _blocks(entries.filter(F.length("title") > 0), band)
+    # Each (band of the record, band of the entry, block of the record, block of the entry) is one group.
+    groups = [(p, q, i, j) for p in left_blocks for q in (p - 1, p, p + 1) for i in range(left_blocks[p]) for j in range(right_blocks.get(q, 0))]
+    spark = records.sparkSession
+
+    def dealt(titles: DataFrame, blocks: dict[int, int], own: str, block: str) -> DataFrame:
+        named = F.broadcast(spark.createDataFrame([(n, *g) for n, g in enumerate(groups)], "g long, p int, q int, i int, j int"))
+        size = F.broadcast(spark.createDataFrame(list(blocks.items()), "band int, blocks int"))
+        at = titles.join(size, "band").select("title", F.col("band").alias(own), F.pmod(F.xxhash64("title"), F.col("blocks")).cast("int").alias(block))
+        return at.join(named, [own, block]).select("g", "title")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = closest_titles(a["title"].tolist(), b["title"].tolist(), threshold) if len(a) and len(b) else []
+        return pd.DataFrame(found, columns=["a", "b", "ratio"]).astype({"a": object, "b": object, "ratio": float})
+
+    near = dealt(left, left_blocks, "p", "i").groupBy("g").cogroup(dealt(right, right_blocks, "q", "j").groupBy("g")).applyInPandas(compare, "a string, b string, ratio double")
+    one = Window.partitionBy("b").orderBy(F.desc("cited"), "pos")
+    named_entries = entries.select("key", "cited", "pos", F.col("title").alias("b")).withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    best = Window.partitionBy("a").orderBy(F.desc("ratio"), F.desc("cited"), "pos")
+    chosen = near.join(named_entries, "b").withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(F.col("a").alias("title"), "key", "ratio")
+    return records.filter(F.length("title") >= MIN_TITLE).select("record", "title").join(chosen, "title").select("record", "key", "ratio")
 
 
 def link_cascade(records: DataFrame, entries: DataFrame) -> DataFrame:

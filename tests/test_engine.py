@@ -1,5 +1,8 @@
 """Engine operators on made-up rows."""
 
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,26 @@ def test_linkage(spark):
     assert {r["source_file"]: r["duplicate_of"] for r in linkage.mark_duplicates(rows).collect()} == {"a": None, "b": "a", "c": None}
 
 
+def test_similar_titles_by_brute_force(spark):
+    pairs = [("krankenhausinformationssysteme", "krankenhausinformationssystemen"), ("phenylalaninehydroxylase deficiencysyndrome", "phenylalanine hydroxylase deficiency syndrome"), ("electroencephalographic neurophysiology", "electroencephalografic neurophysiologie")]
+    r = random.Random(4)
+    for _ in range(150):
+        x = "".join(r.choice("abcdé 日") for _ in range(r.randrange(18, 60))) + r.choice(["", "a" * 40])
+        y = list(x)
+        for _ in range(r.randrange(4)):
+            y[r.randrange(len(y))] = r.choice(["", "a", "xy"])
+        pairs.append((x, "".join(y)))
+    entries = [(k, k % 3 == 0, k, y) for k, (_, y) in enumerate(pairs)] + [(900, False, -1, pairs[0][1]), (901, False, 901, "")]
+    wanted = {}
+    for n, (x, _) in enumerate(pairs):
+        found = [(-SequenceMatcher(None, x, y, autojunk=False).ratio(), not cited, pos, key) for key, cited, pos, y in entries]
+        if len(x) >= linkage.MIN_TITLE and -min(found)[0] >= linkage.TITLE_SIMILARITY:
+            wanted[n] = (min(found)[3], -min(found)[0])
+    assert set(wanted) >= {0, 1, 2} and 50 < len(wanted) < len(pairs)
+    got = linkage.similar_titles(spark.createDataFrame([(n, x) for n, (x, _) in enumerate(pairs)], "record long, title string"), spark.createDataFrame(entries, "key long, cited boolean, pos long, title string"))
+    assert {row["record"]: (row["key"], row["ratio"]) for row in got.collect()} == wanted
+
+
 def test_vector_table(spark):
     chunks = spark.createDataFrame([(0, "h1", "A.", "x"), (1, "h2", "B.", "y"), (2, "h2", "B.", "y")], "pos long, text_hash string, header string, text string")
     store = spark.createDataFrame([("h1", [1.0]), ("h9", [2.0])], "text_hash string, vector array<float>")
