@@ -407,10 +407,10 @@ def link_pick(spark, sf_dir):
 
 @query()
 def similar_title(spark, sf_dir):
-    """Part names against each other's names with a letter changed."""
+    """Every part name with a letter added against all part names."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), T.normalise_title(F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), F.col("p_partkey").cast("string"))).alias("title"))
     entries = parts.select("key", F.lit(False).alias("cited"), F.col("key").alias("pos"), "title")
-    return linkage.similar_titles(parts.filter("key <= 200").select(F.col("key").alias("record"), F.concat("title", F.lit("s")).alias("title")), entries).select("record", "key", F.round("ratio", 9).alias("ratio"))
+    return linkage.similar_titles(parts.select(F.col("key").alias("record"), F.concat("title", F.lit("s")).alias("title")), entries).select("record", "key", F.round("ratio", 9).alias("ratio"))
 
 
 @query("SELECT lower(source) AS folded, arg_max(source, doc_id) AS key FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.operators import chunking, evaluation, lexical, linkage, ranking, vectors
+from passagemill.plans import queries
 from passagemill.sources import readers
 from passagemill.streaming import ingest
 
@@ -119,6 +120,12 @@ def test_similar_titles_by_brute_force(spark):
     assert {row["record"]: (row["key"], row["ratio"]) for row in got.collect()} == wanted
 
 
+def test_similar_title_takes_every_part(spark, tmp_path):
+    rows = [(k, "grey wrench", "economy plated") for k in range(150, 260)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["record"]: r["key"] for r in queries.similar_title(spark, str(tmp_path)).collect()} == {k: k for k in range(150, 260)}
+
+
 def test_vector_table(spark):
     chunks = spark.createDataFrame([(0, "h1", "A.", "x"), (1, "h2", "B.", "y"), (2, "h2", "B.", "y")], "pos long, text_hash string, header string, text string")
     store = spark.createDataFrame([("h1", [1.0]), ("h9", [2.0])], "text_hash string, vector array<float>")
