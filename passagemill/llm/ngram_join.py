@@ -8,8 +8,10 @@
    discarded.
 3. A prefix column with many rows is not multiplied out: it only joins its
    rows of compatible sizes into one candidate cluster.
-4. Candidate clusters are cut into bounded blocks, and full incidence blocks
-   are multiplied pairwise for exact overlaps.
+4. Nodes connected by surviving pairs form candidate clusters. A small cluster
+   is one block; a larger one is laid out by set size in bounded blocks. Full
+   incidence blocks are multiplied for exact overlaps, but of the pairs of
+   blocks only those that hold a surviving pair.
 
 The shingle order behind the prefixes puts frequent shingles last. Any order is
 exact; this one keeps passages that many documents share out of the prefixes.
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm import kernels as K
 from passagemill.llm.components import connected_components
-from passagemill.llm.scratch import materialize
+from passagemill.llm.scratch import forget, materialize
+from passagemill.llm.skew import join_skewed
 from passagemill.shipping import ship_package
 
 #: A shingle is frequent if partitions that hold it in at least this many sets hold it in so many sets together.
@@ -38,7 +41,9 @@ LONG_COLUMN = 128
 #: Rounds of ordering shingles; another follows while long columns not known to be frequent hold this share of the sets.
 ROUNDS, TOO_MANY = 3, 0.01
 #: Nodes and shingles in one side of a block.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
+#: Shingles of a partition that are counted together.
+COUNTED_TOGETHER = 2_000_000
 #: Node ids that may be broadcast to pick the texts of candidates; beyond, that join shuffles.
 BROADCAST_ROWS = 300_000
 _TILE = 4096
@@ -64,15 +69,23 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 class _FrequentCounter:
-    """Counts of shingles that recur, with bounded memory: singles are forgotten after each batch."""
+    """Counts of shingles that recur, with bounded memory: singles are forgotten whenever enough sets have gathered."""
 
     def __init__(self, room: int = 1_000_000):
         self.keys, self.counts, self.room = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), room
+        self.waiting, self.shingles = [], 0
 
     def add(self, sets: list[np.ndarray]) -> None:
-        if not sets:
+        self.waiting += sets
+        self.shingles += sum(map(len, sets))
+        if self.shingles >= COUNTED_TOGETHER:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
             return
-        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.shingles = [], 0
         known = np.isin(keys, self.keys, assume_unique=True) | (counts > 1)
         keys, place = np.unique(np.concatenate([self.keys, keys[known]]), return_inverse=True)
         total = np.bincount(place, np.concatenate([self.counts, counts[known]]), len(keys)).astype(np.int64)
@@ -100,6 +113,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
             counter.add(fresh)
             empty = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(nodes), empty, empty], names=["doc_id", "n", "node", "hot", "hits"])
+        counter.settle()
         hot = np.flatnonzero(counter.counts >= LOCALLY_REPEATED)
         if len(hot):
             hot = hot[np.argsort(-counter.counts[hot], kind="stable")][:MAX_FREQUENT]
@@ -305,6 +319,43 @@ def _multiply_blocks(blocks: DataFrame, words: int, percent: int) -> DataFrame:
     return blocks.mapInArrow(multiply, "node binary, root binary, links long, whole boolean")
 
 
+def _tasks(members: DataFrame, possible: DataFrame, columns: DataFrame, percent: int, block_nodes: int) -> DataFrame:
+    """(cluster, i, j, s, node, copies, whole): each node once for every block pair that it takes part in.
+
+    A cluster that fits is one block. Nodes of a larger one are laid out by
+    size, and a pair of its blocks is multiplied only if it holds a surviving
+    pair: one of ``possible``, or two rows of a long column (gram, node) with
+    compatible sizes.
+    """
+    weight = F.greatest(F.lit(1.0 / block_nodes), F.col("n") / F.lit(float(BLOCK_SHINGLES)))
+    sizes = materialize(members.groupBy("cluster").agg(F.sum(weight).alias("blocks")).filter("blocks > 2"), "join-large")
+    small = join_skewed(members, sizes, "cluster", "left_anti")
+    zero = F.lit(0).cast("int")
+    tasks = small.select("cluster", zero.alias("i"), zero.alias("j"), zero.alias("s"), "node", "copies", F.lit(True).alias("whole"))
+    if sizes.isEmpty():
+        return tasks
+    large = materialize(join_skewed(members, sizes.select("cluster"), "cluster", "left_semi"), "join-large-members")
+    by_size = large.groupBy("cluster", "n").agg(F.sum(weight).alias("_share"))
+    earlier = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(by_size.withColumn("_start", F.coalesce(F.sum("_share").over(earlier), F.lit(0.0))), "join-starts")
+    place = F.floor(F.col("_start") + F.col("_share") * F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+    placed = materialize(join_skewed(large, starts, ["cluster", "n"]).select("cluster", "node", "copies", "n", place.cast("int").alias("s")), "join-placed")
+    spot = placed.select("node", "cluster", "s")
+    first = join_skewed(possible, spot.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
+    met = materialize(first, "join-met")
+    direct = join_skewed(met, spot.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("cluster", F.least("sa", "sb").alias("i"), F.greatest("sa", "sb").alias("j")).distinct()
+    # Columns that meet the same blocks count once.
+    runs = join_skewed(columns, spot, "node").groupBy("cluster", "gram").agg(F.array_sort(F.collect_set("s")).alias("all")).select("cluster", "all").distinct()
+    crossed = runs.select("cluster", "all", F.explode("all").alias("i")).select("cluster", "i", F.explode(F.filter("all", lambda t: t >= F.col("i"))).alias("j")).distinct()
+    ranges = placed.groupBy("cluster", "s").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    lower = ranges.select("cluster", F.col("s").alias("i"), F.col("high").alias("high"))
+    upper = ranges.select("cluster", F.col("s").alias("j"), F.col("low").alias("low"))
+    fitting = crossed.join(lower, ["cluster", "i"]).join(upper, ["cluster", "j"]).filter(100 * F.col("high") >= percent * F.col("low")).select("cluster", "i", "j")
+    needed = materialize(direct.unionByName(fitting).distinct(), "join-block-pairs")
+    sides = needed.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("s"))
+    return tasks.unionByName(placed.join(sides, ["cluster", "s"]).select("cluster", "i", "j", "s", "node", "copies", F.lit(False).alias("whole")))
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", long_column: int = LONG_COLUMN, block_nodes: int = BLOCK_NODES, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -314,7 +365,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     blank text has none and links with nothing. component_id is the smallest id
     reachable by links, the row's own included; a null id is never smallest.
     n_links counts the other rows a row links with, equal texts included.
-    Repeated rows and ids are rows like any others. Other columns are ignored.
+    Repeated rows and ids are rows like any others; texts of any length are
+    read whole; an empty table gives an empty result. Other columns are ignored.
+    Shingles are compared by 64-bit hashes of their words, sets in one class by
+    128 bits.
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -334,6 +388,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         if round_no == ROUNDS - 1 or sum(fresh.values()) <= TOO_MANY * sets:
             break
         counts = dict(sorted((counts | fresh).items(), key=lambda x: (-x[1], x[0]))[:MAX_FREQUENT])
+        forget(docs.sparkSession, pairs)
     counted = pairs.filter(~F.col("chained")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     columns = materialize(chained.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("long")), "join-long")
     for side in "ab":
@@ -342,23 +397,18 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     beyond = F.greatest(*(F.ceil(F.col(n) * percent / F.lit(100)) - 1 for n in ("na", "nb")))
     most = F.col("shared") + F.least(*(F.coalesce(F.col(f"long_{s}"), F.lit(0)) for s in "ab")) + beyond
     possible = counted.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    clusters = connected_components(possible.select("a", "b").unionByName(chained.filter("a != b").select("a", "b")))
+    possible = materialize(possible.select("a", "b"), "join-possible")
+    clusters = connected_components(possible.unionByName(chained.filter("a != b").select("a", "b")))
 
     # The classes: smallest id and number of rows of each node.
     classes = materialize(slim.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")), "join-classes")
     members = materialize(clusters.select("node", F.col("root").alias("cluster")).join(classes, "node"), "join-members")
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(block_nodes)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("parts"), F.count("*").alias("size")
-    )
-    sizes = sizes.withColumn("parts", F.when((F.col("size") <= 2 * block_nodes) & (F.col("parts") <= 2), F.lit(1)).otherwise(F.col("parts"))).drop("size")
-    placed = members.join(sizes, "cluster").withColumn("s", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tasks = _tasks(members, possible, chained.select("gram", F.col("b").alias("node")), percent, block_nodes)
     chosen = members.select(F.col("least").alias("_least"), "node")
     if members.count() <= broadcast_rows:
         chosen = F.broadcast(chosen)
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_least"])).select("node", "text")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.struct(F.least(t, F.col("s")).alias("i"), F.greatest(t, F.col("s")).alias("j")))
-    tasks = placed.select("cluster", "node", "copies", "s", (F.col("parts") == 1).alias("whole"), F.explode(others).alias("at")).join(texts, "node")
-    blocks = tasks.select("cluster", "at.i", "at.j", "s", "node", "copies", "text", "whole").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    blocks = tasks.join(texts, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     linked = materialize(_multiply_blocks(blocks, words, percent), "join-links")
 
     split = linked.filter(~F.col("whole")).select("node", "root")
@@ -366,10 +416,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     if not split.isEmpty():
         roots = roots.unionByName(connected_components(split, "node", "root"))
     degrees = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    found = classes.join(roots.distinct(), "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    answers = found.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return slim.join(answers, "node", "left").select(
+    found = materialize(classes.join(roots.distinct(), "node", "left").join(degrees, "node", "left").withColumn("root", F.coalesce("root", "node")), "join-found")
+    # Only nodes with links share a root with others.
+    least = materialize(found.filter("links > 0").groupBy("root").agg(F.min("least").alias("component_id")), "join-least")
+    linked_nodes = join_skewed(found.filter("links > 0"), least, "root").select("node", "component_id", "links", "copies")
+    single = found.filter("links IS NULL").select("node", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links"), "copies")
+    # Classes of one row need no join: a row without an answer is alone.
+    told = linked_nodes.unionByName(single.filter("copies > 1"))
+    answers = materialize(told.select("node", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "join-answers")
+    return join_skewed(slim, answers, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
