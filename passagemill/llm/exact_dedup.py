@@ -1,7 +1,9 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Each step works on what the step before could not tell apart, and only rows
-whose length and prefix both recur have their whole text hashed.
+Each step works on what the step before could not tell apart: only rows of a
+length that recurs have their prefix hashed, and only rows whose length and
+prefix both recur have their whole text hashed. Hot groups of equal texts are
+decided by broadcast.
 """
 
 from __future__ import annotations
@@ -10,69 +12,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.llm.skew import BROADCAST_ROWS, HOT_ROWS, join_skewed
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 128
-#: A table of surviving (length, prefix hash) pairs, 16 bytes each, is broadcast up to this many rows; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Groups of at least this many rows get their decision by broadcast, so that no task holds all their texts.
-HOT_ROWS = 1_000
+_ADDED = ("keep_id", "group_size", "kept")
 
 
 def normalised(text: Column) -> Column:
     """Null as empty; each run of ASCII white space as one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    # A single space is left alone: the pattern matches only what changes.
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS, stages: dict[str, int] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus keep_id, group_size and kept.
 
     Texts are equal when they agree after ``normalised``; null equals empty.
     Of equal texts the row with the smallest id stays; a null id is larger than
     any other. Among rows that share both text and that smallest id exactly one
-    is kept. Columns of ``docs`` named like the three added ones are replaced.
+    is kept. Columns of ``docs`` named like the three added ones are replaced;
+    any other names are safe. Texts of any length are read whole; equality of
+    full texts is that of their SHA-256. An empty table gives an empty result.
+    ``stages`` receives the rows, those with a prefix hashed and those hashed
+    in full.
     """
-    docs = docs.drop("keep_id", "group_size", "kept")
-    text = normalised(F.col(text_col))
-    signed = docs.withColumn("_len", F.length(text)).withColumn("_prefix", F.xxhash64(F.substring(text, 1, prefix_chars)))
-    slim = materialize(signed.select("_len", "_prefix"), "dedup-signatures")
-    lengths = slim.groupBy("_len").agg(F.count("*").alias("_n")).filter("_n > 1").select("_len")
-    pairs = slim.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).filter("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_prefix")
-    pairs = materialize(pairs, "dedup-pairs")
-    if pairs.count() <= broadcast_rows:
-        pairs = F.broadcast(pairs)
-    alone = signed.join(pairs, ["_len", "_prefix"], "left_anti")
-    again = signed.join(pairs, ["_len", "_prefix"], "left_semi").withColumn("_full", F.sha2(text, 256)).withColumn("_row", F.monotonically_increasing_id())
-    again = materialize(again.drop("_len", "_prefix"), "dedup-survivors")
+    own = [c for c in docs.columns if c.lower() not in _ADDED]
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text")).withColumn("length", F.length("text"))
+    lengths = materialize(base.groupBy("length").agg(F.count("*").alias("rows")).filter("rows > 1").select("length"), "dedup-lengths")
+    options = {"broadcast_rows": broadcast_rows, "hot_rows": hot_rows}
+    recurring = join_skewed(base, lengths, "length", "left_semi", **options)
+    prefix = F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix")
+    pairs = materialize(recurring.select("length", prefix).groupBy("length", "prefix").agg(F.count("*").alias("rows")).filter("rows > 1").select("length", "prefix"), "dedup-pairs")
+    # Rows of other lengths, or whose prefix is unique at their length, are alone.
+    signed = base.select("*", prefix)
+    alone = join_skewed(signed, pairs, ["length", "prefix"], "left_anti", **options).select("row", "id")
+    again = join_skewed(signed, pairs, ["length", "prefix"], "left_semi", **options)
+    again = materialize(again.select("row", "id", F.unhex(F.sha2("text", 256)).alias("full"), F.monotonically_increasing_id().alias("number")), "dedup-survivors")
+    if stages is not None:
+        stages |= {"rows": base.count(), "prefix": recurring.count(), "full": again.count()}
 
     # Nulls last: (is null, id, row) orders ids first and settles rows that share one.
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("_first")
-    groups = materialize(again.groupBy("_full").agg(first, F.count("*").alias("_size")), "dedup-groups")
-    # As many hot groups as may be broadcast: the largest sizes, each taken whole.
-    sizes = groups.filter(F.col("_size") >= hot_rows).groupBy("_size").agg(F.count("*").alias("_groups")).orderBy(F.desc("_size"))
-    room, least = broadcast_rows, None
-    for row in sizes.limit(broadcast_rows).toLocalIterator():
-        room -= row["_groups"]
-        if room < 0:
-            break
-        least = row["_size"]
-
-    def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found, "_full").select(
-            *docs.columns,
-            F.col("_first.id").alias("keep_id"),
-            F.col("_size").cast("long").alias("group_size"),
-            (F.col("_row") == F.col("_first.row")).alias("kept"),
-        )
-
-    if least is None:
-        decided = decide(again, groups)
-    else:
-        hot = F.broadcast(groups.filter(F.col("_size") >= least))
-        cold = again.join(hot.select("_full"), "_full", "left_anti")
-        decided = decide(again, hot).unionByName(decide(cold, groups.filter(F.col("_size") < least)))
-    single = alone.select(*docs.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    return single.unionByName(decided)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("number").alias("number"))).alias("first")
+    groups = materialize(again.groupBy("full").agg(first, F.count("*").alias("size")), "dedup-groups")
+    decided = join_skewed(again, groups, "full", **options).select(
+        "row", F.col("first.id").alias("keep_id"), F.col("size").cast("long").alias("group_size"), (F.col("number") == F.col("first.number")).alias("kept")
+    )
+    single = alone.select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return single.unionByName(decided).select("row.*", *_ADDED)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
