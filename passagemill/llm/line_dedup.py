@@ -1,16 +1,17 @@
 """Repeated lines, found with two Bloom filters: one of hashes seen once, one of hashes seen twice.
 
-Every partition fills both filters from its lines; merging sets a bit of the
-second filter wherever two partitions have it in the first. A line outside the
-merged second filter occurs once in the corpus and never leaves its task. Only
-the other lines, the suspects, are shuffled, compared by their full keys, and
-counted, so a false positive costs a little traffic and no wrong answer.
+The hashes of all lines, eight bytes each, are dealt out by range. Each range
+fills both filters: a hash that meets all its bits in the first enters the
+second. A hash outside the second filter belongs to a line that occurs once.
+The number of ranges grows with the lines, so a filter keeps its size and its
+share of false positives at any size of the corpus. Only the lines of the other
+hashes, the suspects, are shuffled, compared by their full keys, and counted,
+so a false positive costs a little traffic and no wrong answer.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.llm.skew import join_skewed
 from passagemill.shipping import ship_package
 
-#: Bits of each filter, at most and at least; at most 8 MB are broadcast. A fuller filter only passes more suspects.
-MAX_BITS, MIN_BITS = 1 << 26, 1 << 20
+#: Bits of each filter at most: 2 MB.
+MAX_BITS = 1 << 24
 #: Bits per line aimed at, and hash functions.
 BITS_PER_LINE, HASHES = 12, 3
+#: Ranges of hashes, at least.
+MIN_RANGES = 32
+#: Suspected hashes, 8 bytes each, that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_SUSPECTS = 2_000_000
 #: Repeated keys, a 16-byte digest and an id each, that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
-#: Bytes of a filter that are merged together.
-_SEGMENT = 1 << 16
+#: Hashes of a partition that are dealt out together.
+_TOGETHER = 1 << 20
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -40,10 +46,39 @@ def line_key(line: str) -> str:
     return line.strip(_WHITE).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _positions(keys: list[str], bits: int) -> np.ndarray:
-    h = np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], dtype=np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(k) * step) % np.uint64(bits) for k in range(HASHES)], axis=1).astype(np.int64) if len(h) else np.zeros((0, HASHES), dtype=np.int64)
+def _hashes(keys: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], dtype=np.uint64)
+
+
+class Bloom:
+    """A Bloom filter over 64-bit hashes."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words = np.uint64(bits), np.zeros(-(-bits // 8), dtype=np.uint8)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        at = np.stack([(h + np.uint64(k) * step) % self.bits for k in range(HASHES)], axis=1)
+        return (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
+
+    def add(self, h: np.ndarray) -> None:
+        byte, bit = self._places(h)
+        np.bitwise_or.at(self.words, byte.ravel(), bit.ravel())
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        byte, bit = self._places(h)
+        return ((self.words[byte] & bit) != 0).all(axis=1)
+
+
+def suspected(parts: list[np.ndarray], bits: int) -> np.ndarray:
+    """The distinct hashes that two parts, or one part twice, may hold."""
+    once, twice = Bloom(bits), Bloom(bits)
+    for part in parts:
+        values, counts = np.unique(part, return_counts=True)
+        twice.add(values[(counts > 1) | once.holds(values)])
+        once.add(values)
+    found = [part[twice.holds(part)] for part in parts]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
 
 
 def _keys(text: str | None, min_chars: int) -> list[tuple[int, str]]:
@@ -56,87 +91,91 @@ def _keys(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     return found
 
 
-def _filters(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The merged filter of line keys that may occur in two texts."""
+def _suspects(docs: DataFrame, min_chars: int, max_bits: int) -> DataFrame:
+    """(hash): 64-bit hashes of line keys that may occur in two rows, each once."""
+    # No text has more keys than its bytes allow.
+    most = docs.agg(F.coalesce(F.sum(F.floor((F.octet_length("text") + 1) / F.lit(min_chars + 1))), F.lit(0))).first()[0]
+    ranges = max(MIN_RANGES, -(-most * BITS_PER_LINE // max_bits))
+    bits = min(max_bits, max(1 << 10, most * BITS_PER_LINE // ranges))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                at = _positions(list({key for _, key in _keys(text, min_chars)}), bits)
-                again = once[at].all(axis=1)
-                twice[at[again].ravel()] = True
-                once[at.ravel()] = True
-        rows = []
-        for low in range(0, bits, 8 * _SEGMENT):
-            a, b = once[low : low + 8 * _SEGMENT], twice[low : low + 8 * _SEGMENT]
-            if a.any():
-                rows.append((low // (8 * _SEGMENT), zlib.compress(np.packbits(a).tobytes(), 1), zlib.compress(np.packbits(b).tobytes(), 1)))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["segment", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by segment; two bit sets are held whatever the number of partitions.
-        segment, once, twice = None, None, None
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, count = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
+            h = np.concatenate(waiting) if waiting else np.zeros(0, dtype=np.uint64)
+            place = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            h, place = h[order], place[order]
+            names, starts = np.unique(place, return_index=True)
+            blobs = [x.tobytes() for x in np.split(h, starts[1:])] if len(h) else []
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blobs, pa.binary())], names=["range", "hashes"])
 
         for batch in batches:
-            for s, a, b in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice")), strict=True):
-                a, b = np.frombuffer(zlib.decompress(a), dtype=np.uint8), np.frombuffer(zlib.decompress(b), dtype=np.uint8)
-                if s != segment:
-                    if segment is not None:
-                        yield out()
-                    segment, once, twice = s, a.copy(), b.copy()
-                else:
-                    twice |= b | (once & a)
-                    once |= a
-        if segment is not None:
-            yield out()
-
-    filled = docs.select("text").mapInArrow(fill, "segment int, once binary, twice binary")
-    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, twice binary")
-    result = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.collect():
-        part = np.frombuffer(zlib.decompress(row["twice"]), dtype=np.uint8)
-        result[row["segment"] * _SEGMENT : row["segment"] * _SEGMENT + len(part)] = part
-    return result
-
-
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+            for text in batch.column("text").to_pylist():
+                own = _hashes(list({key for _, key in _keys(text, min_chars)}))
+                waiting.append(own)
+                count += len(own)
+            if count >= _TOGETHER:
+                yield out()
+                waiting, count = [], 0
+        yield out()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by range; the hashes of one range are held, as many as the filters are made for.
+        current, parts = None, []
+        for batch in batches:
+            for name, blob in zip(batch.column("range").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                if name != current:
+                    if parts:
+                        yield pa.RecordBatch.from_arrays([pa.array(suspected(parts, bits).view(np.int64))], names=["hash"])
+                    current, parts = name, []
+                parts.append(np.frombuffer(blob, dtype=np.uint64))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(suspected(parts, bits).view(np.int64))], names=["hash"])
+
+    dealt = docs.select("text").mapInArrow(deal, "range long, hashes binary")
+    return materialize(dealt.repartition("range").sortWithinPartitions("range").mapInArrow(find, "hash long"), "lines-suspected")
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, broadcast_keys: int = BROADCAST_KEYS, broadcast_suspects: int = BROADCAST_SUSPECTS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (the lines that stay, joined by newlines).
 
     A line's key (``line_key``) of at least ``min_chars`` code points found in
     at least ``min_docs`` rows loses all its lines except in the row with the
     largest id holding it (in all such rows if the id repeats; a null id is
-    smallest). Null text is one empty line. A text of dropped lines only comes
-    back empty. Other columns are ignored.
+    smallest). Rows that repeat an id count one by one. Null text is one empty
+    line. A text of dropped lines only comes back empty. Texts of any length
+    are read whole; an empty table gives an empty result. Other columns are
+    ignored.
     """
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = source.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("\n")) + 1), F.lit(0))).first()[0]
-    bits = MIN_BITS
-    while bits < min(max_bits, lines * BITS_PER_LINE):
-        bits *= 2
-    shared = source.sparkSession.sparkContext.broadcast(_filters(source, bits, min_chars))
+    suspects = _suspects(source, min_chars, max_bits)
     id_type = source.schema["doc_id"].dataType.simpleString()
+    few = suspects.count() <= broadcast_suspects
+    wanted = np.sort(suspects.toArrow()["hash"].to_numpy().view(np.uint64)) if few else None
+    shared = source.sparkSession.sparkContext.broadcast(wanted)
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(shared.value).astype(bool)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             rows, keys = [], []
             for n, text in enumerate(batch.column("text").to_pylist()):
                 own = list({key for _, key in _keys(text, min_chars)})
-                if own:
-                    hits = [key for key, hit in zip(own, seen[_positions(own, bits)].all(axis=1), strict=True) if hit]
-                    rows += [n] * len(hits)
-                    keys += hits
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=["doc_id", "key"])
-
+                rows += [n] * len(own)
+                keys += own
+            h = _hashes(keys)
+            if known is not None:
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, dtype=np.int64)
+                rows, keys, h = [rows[k] for k in hit], [keys[k] for k in hit], h[hit]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.string()), pa.array(h.view(np.int64))], names=["doc_id", "key", "hash"])
+
+    found = source.mapInArrow(keyed, f"doc_id {id_type}, key string, hash long")
+    if not few:
+        found = join_skewed(found, suspects, "hash", "left_semi")
     # A row counts once for a key; the map side adds up before anything is shuffled.
-    found = source.mapInArrow(suspects, f"doc_id {id_type}, key string").groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last"))
-    repeated = materialize(found.filter(F.col("rows") >= min_docs).select("key", F.unhex(F.md5("key")).alias("digest"), "last"), "lines-repeated")
+    counted = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("last"))
+    repeated = materialize(counted.filter(F.col("rows") >= min_docs).select("key", F.unhex(F.md5("key")).alias("digest"), "last"), "lines-repeated")
     if repeated.count() <= broadcast_keys:
         return _drop_by_set(source, repeated, min_chars)
     return _drop_by_join(source, repeated, min_chars)
@@ -183,7 +222,7 @@ def _drop_by_join(source: DataFrame, repeated: DataFrame, min_chars: int) -> Dat
     numbered = source.mapInArrow(number, f"uid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, keyed array<struct<line:int,key:string>>")
     numbered = materialize(numbered, "lines-numbered")
     lines = numbered.select("uid", "doc_id", F.explode("keyed").alias("s")).select("uid", "doc_id", "s.line", "s.key")
-    gone = lines.join(repeated.select("key", "last"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("uid").agg(F.collect_list("line").alias("gone"))
+    gone = join_skewed(lines, repeated.select("key", "last"), "key").filter(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("uid").agg(F.collect_list("line").alias("gone"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
