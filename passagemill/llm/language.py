@@ -8,7 +8,6 @@ relative lead over the runner-up is the margin; narrow margins are rejected.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,21 +19,17 @@ from pyspark.sql import types as T
 
 from passagemill.shipping import ship_package
 
-#: Rows per language that the dictionaries are made from, smallest hash of the id first.
-SAMPLE_ROWS = 200
-#: Bytes of raw content per dictionary.
-DICTIONARY_BYTES = 96 << 10
-#: Languages learned at most, the most frequent first; bounds what the driver collects.
-MAX_LANGUAGES = 64
-#: Characters of a sampled text that may enter a dictionary, so that one very long text does not fill it.
-SAMPLE_CHARS = 8192
+#: Rows per language that a dictionary is made from at most, smallest hash of id and text first, and bytes of text that they may have together; one row is taken whatever its size. Texts of more bytes than that come last.
+SAMPLE_ROWS, SAMPLE_BYTES = 200, 192 << 10
+#: Bytes that all dictionaries may have together; a table with more is refused.
+MAX_TOTAL_BYTES = 256 << 20
 #: Bytes of text per compression call: short enough for the dictionary, not the text's own past, to decide.
 BLOCK_BYTES = 2048
 #: Lead of the winner, as a share of the runner-up's bytes, below which a text is rejected.
 MIN_MARGIN = 0.002
 #: Compression level and shortest match; matches of 3 bytes pick up syllables, which level 1 does not.
 _LEVEL, _MIN_MATCH = 6, 3
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 
 
 def _compressors(contents: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
@@ -47,6 +42,11 @@ def _compressors(contents: dict[str, bytes]) -> dict[str, zstandard.ZstdCompress
     return made
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode category L; number signs such as a half are word characters but no letters."""
+    return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 def _folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -69,7 +69,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin). No text, no letter or no learned language: ("und", 0, 0)."""
-        if not text or not self.contents or not _LETTER.search(text):
+        if not text or not self.contents or not has_letter(text):
             return "und", 0.0, 0.0
         if not self._made:
             self._made.update(_compressors(self.contents))
@@ -81,16 +81,17 @@ class LanguageModel:
 
 
 def _fill(lines: list[str]) -> bytes:
-    # The end of a raw dictionary is cheapest to refer to, so the content is cut at its start.
-    return _folded("\n".join(lines))[-DICTIONARY_BYTES:]
+    return _folded("\n".join(lines))
 
 
 def build_model(rows: list[tuple[str, str]], min_margin: float = MIN_MARGIN) -> LanguageModel:
-    """From (language, text) rows. A second pass drops sampled lines that read as another language."""
+    """From (language, text) rows, all of whose text goes into the dictionaries. A second pass drops lines that read as another language."""
     texts: dict[str, list[str]] = {}
     for lang, text in rows:
-        texts.setdefault(lang, []).append(text[:SAMPLE_CHARS])
+        texts.setdefault(lang, []).append(text)
     first = {lang: _fill(group) for lang, group in texts.items()}
+    if (total := sum(map(len, first.values()))) > MAX_TOTAL_BYTES:
+        raise ValueError(f"{len(first)} languages need {total} bytes of dictionaries, more than {MAX_TOTAL_BYTES}")
     if len(first) < 2:
         return LanguageModel(first, min_margin)
     compressors = _compressors(first)
@@ -102,15 +103,21 @@ def build_model(rows: list[tuple[str, str]], min_margin: float = MIN_MARGIN) ->
     return LanguageModel(pure, min_margin)
 
 
-def fit_language_model(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, min_margin: float = MIN_MARGIN) -> LanguageModel:
-    """Learn from rows with ``learnable`` true, text and language not null: at most ``sample_rows`` per language."""
-    known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    common = [r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()]
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = known.filter(F.col("_lang").isin(common)).select("_id", "_lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows)
-    rows = known.join(F.broadcast(chosen.select("_id", "_lang")), ["_id", "_lang"]).select("_id", "_lang", F.substring("_text", 1, SAMPLE_CHARS).alias("_text")).collect()
-    rows = sorted(((r["_lang"], r["_id"], r["_text"]) for r in rows), key=lambda r: (r[0], zlib.crc32(str(r[1]).encode()), r[2]))
-    return build_model([(lang, text) for lang, _, text in rows], min_margin)
+def fit_language_model(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, min_margin: float = MIN_MARGIN) -> LanguageModel:
+    """Learn every language of the rows with ``learnable`` true and text and language not null, each from a bounded sample of whole texts.
+
+    Equal rows (same id, text and language) count as one. Ids that repeat with
+    other texts are rows of their own.
+    """
+    known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash"))
+    sized = known.select("lang", "hash", F.octet_length("text").alias("bytes")).withColumn("large", F.col("bytes") > sample_bytes)
+    order = Window.partitionBy("lang").orderBy("large", "hash")
+    # The rank is cut in each partition before anything is shuffled.
+    least = sized.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= sample_rows).drop("rank").distinct()
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    chosen = least.withColumn("total", before).withColumn("place", F.row_number().over(order)).filter((F.col("place") == 1) | (F.col("total") <= sample_bytes)).select("lang", "hash")
+    taken = known.join(F.broadcast(chosen), ["lang", "hash"]).dropDuplicates(["lang", "hash"]).collect()
+    return build_model([(r["lang"], r["text"]) for r in sorted(taken, key=lambda r: (r["lang"], r["hash"], r["text"]))], min_margin)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -118,8 +125,9 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
     Null text, and text without a letter, is "und" with score 0 and rejected.
     A text whose margin is below the model's is rejected but still named.
-    Equal sizes go to the first language by name. Columns of ``docs`` with the
-    added names are replaced.
+    Equal sizes go to the first language by name. Texts of any length are read
+    whole; repeated rows are rows like any others; an empty table gives an empty
+    result. Columns of ``docs`` with the added names are replaced.
     """
     ship_package(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "margin", "rejected")
