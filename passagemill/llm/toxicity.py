@@ -20,7 +20,7 @@ from passagemill.shipping import ship_package
 
 #: Labelled rows that the classifier is fitted on at most, smallest hash of the id first.
 TRAINING_ROWS = 20_000
-#: Lengths of the n-grams, bits of their hash, and how many of them the regression sees.
+#: Lengths of the n-grams, bits of their hash, and how many of the 2^18 buckets, those that tell most about the label, the regression sees; a parameter of ``fit_toxicity_model``.
 LENGTHS, HASH_BITS, FEATURES = (3, 4, 5), 18, 1024
 #: Training texts in which an n-gram must occur.
 MIN_TEXTS = 5
@@ -118,18 +118,27 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     return w, bias
 
 
-def fit_toxicity_model(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS) -> ToxicityModel:
-    """Fit on labelled rows with ``learnable`` (an expression on the id) true; null labels are left out, a repeated label counts as its maximum."""
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", training_rows: int = TRAINING_ROWS, features: int = FEATURES) -> ToxicityModel:
+    """Fit on at most ``training_rows`` labelled rows with ``learnable`` (an expression on the id) true.
+
+    Null labels are left out, a repeated label counts as its maximum. Equal
+    rows count as one; ids that repeat with other texts are rows of their own,
+    within the same bound. Tied n-grams go by the number of their bucket.
+    Without rows of both labels every text scores the share of label 1.
+    """
     ship_package(docs.sparkSession)
     known = labels.filter(learnable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = materialize(texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label").repartition(_TASKS, "_id"), "toxicity-training")
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("_text", F.xxhash64("text"))
+    # Repeated ids may give more rows than labels: the bound holds for rows.
+    rows = rows.dropDuplicates(["_id", "_text"]).orderBy(F.xxhash64("_id"), "_id", "_text").limit(training_rows)
+    rows = materialize(rows.select("_id", "text", "label").repartition(_TASKS, "_id"), "toxicity-training")
     pos, neg, toxic, other = _class_counts(rows.coalesce(_TASKS))
     place = np.full(1 << HASH_BITS, -1, dtype=np.int16)
     if not toxic or not other:
         return ToxicityModel(place, np.zeros(0), float(np.log((toxic + 1) / (other + 1))))
-    chosen_buckets, ratios = choose_features(pos, neg, toxic, other)
+    chosen_buckets, ratios = choose_features(pos, neg, toxic, other, min(features, (1 << 15) - 1))
     place[chosen_buckets] = np.arange(len(chosen_buckets))
     shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel(place, np.zeros(len(ratios)), 0.0))
 
@@ -147,7 +156,9 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, learnable: Column, id
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of ``docs`` plus score (0 to 1) and predicted; null and empty texts score what the text-free model says.
 
-    Columns of ``docs`` named score or predicted are replaced.
+    Texts of any length are read whole; repeated rows are rows like any others;
+    an empty table gives an empty result. Columns of ``docs`` named score or
+    predicted are replaced.
     """
     ship_package(docs.sparkSession)
     docs = docs.drop("score", "predicted")
