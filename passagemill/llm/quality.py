@@ -1,10 +1,13 @@
 """Quality rules by distribution divergence.
 
-A document's histogram over character classes and its histogram over common
-words are compared with references by Jensen-Shannon distance. The references
-are the mean histograms of all documents of each language; a document is
-judged by the language it is closest to, so a mislabelled or mixed text is not
-punished for its label. Documents under the length guard are not judged.
+A document's histogram over character classes and its histogram over the common
+words of a language are compared with the language's references by
+Jensen-Shannon distance. Common words are each language's most frequent ones,
+counted over all its documents; references are mean histograms over its
+documents, taken twice: over all, and then over those within the limits of the
+first means, so that junk does not move them. A document is judged by the
+language that it is closest to, so a mislabelled or mixed text is not punished
+for its label. Documents under the length guard are not judged.
 """
 
 from __future__ import annotations
@@ -13,20 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.llm import kernels as K
 from passagemill.llm.scratch import materialize
 from passagemill.shipping import ship_package
 
-#: The common words whose shares are compared, by language.
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son lui",
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird",
-    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque",
-}
+#: Common words of a language: its most frequent ones.
+COMMON_WORDS = 40
 #: Words under which a document is neither judged nor counted into a reference.
 MIN_WORDS = 50
 #: Largest distances that pass; both lie beyond what ordinary prose of any language reaches.
@@ -35,8 +34,10 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
 MAX_WORD_SHARE = 0.90
 #: Share of common words in a reference under which it cannot tell texts without them, so only MAX_WORD_DISTANCE holds.
 MIN_COMMON = 0.10
-#: Languages with a reference at most, the most frequent first.
-MAX_LANGUAGES = 64
+#: Numbers that all references may have together; a table with more languages than that allows is refused.
+MAX_REFERENCE_NUMBERS = 4_000_000
+#: Words of a partition that are counted together.
+_TOGETHER = 2_000_000
 _SYMBOLS = b"#*$%&|<>"
 _CLASSES = 8
 
@@ -56,8 +57,43 @@ def _class_table() -> np.ndarray:
     return table
 
 
-def common_words() -> list[str]:
-    return sorted({w for words in COMMON_WORDS.values() for w in words.split()})
+def common_words(docs: DataFrame, count: int = COMMON_WORDS, min_words: int = MIN_WORDS, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Hashes of each language's most frequent words (A-Z folded), counted over all its documents of at least ``min_words`` words; ties by hash."""
+    ship_package(docs.sparkSession)
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in waiting.items():
+                words, uses = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(uses.astype(np.int64))], names=["lang", "word", "uses"])
+
+        for batch in batches:
+            words, limits = K.word_hashes(batch.column("text"))
+            for lang, low, high in zip(batch.column("lang").to_pylist(), limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+                if high - low >= min_words:
+                    waiting.setdefault(lang, []).append(words[low:high])
+                    held += high - low
+            if held >= _TOGETHER:
+                yield from out()
+                waiting, held = {}, 0
+        yield from out()
+
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    counted = rows.mapInArrow(count_words, "lang string, word long, uses long").groupBy("lang", "word").agg(F.sum("uses").alias("uses"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("uses"), "word"))
+    found: dict[str, list[int]] = {}
+    for row in counted.withColumn("place", place).filter(F.col("place") <= count).collect():
+        found.setdefault(row["lang"], []).append(row["word"])
+    if len(found) * (count + _CLASSES) > MAX_REFERENCE_NUMBERS:
+        raise ValueError(f"{len(found)} languages need more than {MAX_REFERENCE_NUMBERS} numbers of references")
+    return {lang: np.sort(np.array(words, dtype=np.int64).view(np.uint64)) for lang, words in sorted(found.items())}
+
+
+def _all_words(vocabulary: dict[str, np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *vocabulary.values()]))
 
 
 def repeated_words(words: np.ndarray, n: int = 3) -> int:
@@ -87,26 +123,25 @@ def repeated_lines(text: bytes) -> int:
     return again
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and common (histograms)."""
+def document_statistics(docs: DataFrame, vocabulary: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes (histogram), words and uses (common words that occur, by place among all, and how often)."""
     ship_package(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    listed = common_words()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    listed = docs.sparkSession.sparkContext.broadcast(_all_words(vocabulary))
     table = _class_table()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = K.word_hashes(pa.array(listed))
-        by_hash = np.argsort(known)
-        ordered = known[by_hash]
+        known = listed.value
         for batch in batches:
             text = batch.column("text")
             data, offsets = K.text_buffer(text)
             words, limits = K.word_hashes(text, lower=False)
             folded, _ = K.word_hashes(text, lower=True)
-            at = np.minimum(np.searchsorted(ordered, folded), len(ordered) - 1)
-            match = np.flatnonzero(ordered[at] == folded)
+            at = np.minimum(np.searchsorted(known, folded), max(0, len(known) - 1))
+            match = np.flatnonzero(known[at] == folded) if len(known) else np.zeros(0, dtype=np.int64)
             owner = np.searchsorted(limits, match, side="right") - 1
-            common = np.bincount(owner * len(listed) + by_hash[at[match]], minlength=len(text) * len(listed)).reshape(len(text), len(listed))
+            cells, uses = np.unique(owner * max(1, len(known)) + at[match], return_counts=True)
+            ends = np.searchsorted(cells, np.arange(len(text) + 1) * max(1, len(known)))
             rows, histograms = [], np.zeros((len(text), 256), dtype=np.int64)
             for d in range(len(text)):
                 part = data[offsets[d] : offsets[d + 1]]
@@ -119,34 +154,33 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("lang"), pa.array(counts), pa.array(word_chars), pa.array(histograms[:, list(_SYMBOLS)].sum(axis=1)),
-                    pa.array(again[:, 0]), pa.array(again[:, 1]), _lists(classes), _lists(common),
+                    pa.array(again[:, 0]), pa.array(again[:, 1]), _lists(classes.ravel(), np.arange(len(text) + 1) * _CLASSES), _lists(cells % max(1, len(known)), ends), _lists(uses, ends),
                 ],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
+                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "words", "uses"],
             )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, words array<long>, uses array<long>"
     return docs.mapInArrow(scan, schema)
 
 
-def _lists(matrix: np.ndarray) -> pa.Array:
-    rows, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(matrix.ravel().astype(np.int64)))
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int64)))
 
 
-def language_references(statistics: DataFrame, min_words: int = MIN_WORDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean (class shares, common word shares) over all documents of a language that pass the length guard."""
-    long_enough = statistics.filter((F.col("n_words") >= min_words) & F.col("lang").isNotNull())
-    width = len(common_words())
-    shares = long_enough.select(
-        "lang",
-        F.concat(F.transform("classes", lambda c: c / F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)), F.transform("common", lambda c: c / F.col("n_words"))).alias("shares"),
-    )
-    means = shares.groupBy("lang").agg(F.count("*").alias("docs"), *(F.avg(F.col("shares")[k]).alias(f"s{k}") for k in range(_CLASSES + width)))
+def language_references(statistics: DataFrame, vocabulary: dict[str, np.ndarray], min_words: int = MIN_WORDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean (class shares, shares of the language's common words and of all others) over all documents of a language that pass the length guard."""
+    judged = statistics.filter((F.col("n_words") >= min_words) & F.col("lang").isNotNull())
+    total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    means = judged.groupBy("lang").agg(F.count("*").alias("docs"), *(F.avg(F.col("classes")[k] / total).alias(f"s{k}") for k in range(_CLASSES)))
+    known = _all_words(vocabulary)
+    places = {lang: np.searchsorted(known, words) for lang, words in vocabulary.items()}
+    own = statistics.sparkSession.createDataFrame([(lang, int(p)) for lang, at in places.items() for p in at], "lang string, word long")
+    uses = judged.select("lang", "n_words", F.explode(F.arrays_zip("words", "uses")).alias("x")).select("lang", F.col("x.words").alias("word"), (F.col("x.uses") / F.col("n_words")).alias("share"))
+    shares = {(r["lang"], r["word"]): r["share"] for r in uses.groupBy("lang", "word").agg(F.sum("share").alias("share")).join(F.broadcast(own), ["lang", "word"]).collect()}
     found = {}
-    for row in means.orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect():
-        values = np.array(row[2:], dtype=float)
-        words = values[_CLASSES:]
-        found[row["lang"]] = (values[:_CLASSES], np.append(words, max(0.0, 1 - words.sum())))
+    for row in sorted(means.collect(), key=lambda r: r["lang"]):
+        words = np.array([shares.get((row["lang"], int(p)), 0.0) for p in places.get(row["lang"], ())]) / row["docs"]
+        found[row["lang"]] = (np.array(row[2:], dtype=float), np.append(words, max(0.0, 1 - words.sum())))
     return found
 
 
@@ -167,33 +201,47 @@ def word_limit(reference: np.ndarray, max_word: float = MAX_WORD_DISTANCE) -> fl
     return min(max_word, MAX_WORD_SHARE * float(jensen_shannon(bare, reference)[0]))
 
 
-def judge(statistics: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]], min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Replace the histograms by closest_lang, class_distance, word_distance and diverges (null, null, null, false under the guard)."""
+def judge(statistics: DataFrame, vocabulary: dict[str, np.ndarray], references: dict[str, tuple[np.ndarray, np.ndarray]], min_words: int = MIN_WORDS, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """Add closest_lang, class_distance, word_distance and diverges (null, null, null, false under the guard); ties go to the first language by name."""
     ship_package(statistics.sparkSession)
-    columns = [c for c in statistics.columns if c not in ("classes", "common")]
+    known = _all_words(vocabulary)
+    places = {}
+    for lang in references:
+        column = np.full(len(known) + 1, -1, dtype=np.int64)
+        column[np.searchsorted(known, vocabulary[lang])] = np.arange(len(vocabulary[lang]))
+        places[lang] = column.astype(np.int16)
+    shared = statistics.sparkSession.sparkContext.broadcast((references, places))
+    added = ["closest_lang", "class_distance", "word_distance", "diverges"]
+    columns = [c for c in statistics.columns if c not in added]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(references)
-        limits = np.array([word_limit(references[name][1], max_word) for name in names])
+        learned, columns_of = shared.value
+        names = list(learned)
+        limits = np.array([word_limit(learned[name][1], max_word) for name in names])
         for batch in batches:
             n = batch.num_rows
             classes = batch.column("classes").flatten().to_numpy().reshape(n, -1).astype(float)
-            common = batch.column("common").flatten().to_numpy().reshape(n, -1).astype(float)
             counts = batch.column("n_words").to_numpy()
             judged = (counts >= min_words) & bool(names)
             closest, by_class, by_word = np.zeros(n, dtype=int), np.zeros(n), np.zeros(n)
             if names:
                 classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
-                shares = common / np.maximum(counts, 1)[:, None]
-                shares = np.hstack([shares, np.maximum(0, 1 - shares.sum(axis=1, keepdims=True))])
-                c = np.stack([jensen_shannon(classes, references[name][0]) for name in names])
-                w = np.stack([jensen_shannon(shares, references[name][1]) for name in names])
-                closest = (c / max_class + w / max_word).argmin(axis=0)
-                by_class, by_word = c[closest, np.arange(n)], w[closest, np.arange(n)]
+                words, uses = batch.column("words").flatten().to_numpy(), batch.column("uses").flatten().to_numpy()
+                owner = np.repeat(np.arange(n), pc.list_value_length(batch.column("words")).to_numpy())
+                best = np.full(n, np.inf)
+                for k, name in enumerate(names):
+                    own = columns_of[name][words].astype(np.int64)
+                    mine, width = own >= 0, len(learned[name][1]) - 1
+                    shares = np.bincount(owner[mine] * width + own[mine], uses[mine], n * width).reshape(n, width) / np.maximum(counts, 1)[:, None]
+                    shares = np.hstack([shares, np.maximum(0, 1 - shares.sum(axis=1, keepdims=True))])
+                    c, w = jensen_shannon(classes, learned[name][0]), jensen_shannon(shares, learned[name][1])
+                    nearer = c / max_class + w / limits[k] < best
+                    best[nearer] = (c / max_class + w / limits[k])[nearer]
+                    closest[nearer], by_class[nearer], by_word[nearer] = k, c[nearer], w[nearer]
             off = judged & ((by_class > max_class) | (by_word > (limits[closest] if names else max_word)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in columns), pa.array([names[k] if j else None for k, j in zip(closest, judged, strict=True)], pa.string()), pa.array(by_class, mask=~judged), pa.array(by_word, mask=~judged), pa.array(off)],
-                names=[*columns, "closest_lang", "class_distance", "word_distance", "diverges"],
+                names=[*columns, *added],
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in statistics.schema if f.name in columns)
@@ -205,11 +253,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base_failed: under 50 words, or over half of the words in 3-word windows
     that recur. kept: neither that nor a divergence beyond the limits. Null
-    text is empty; without any reference nothing diverges; repeated rows and
-    ids are rows like any others; other columns are ignored.
+    text is empty; a null language is part of no reference; without any
+    reference nothing diverges; texts of any length are read whole; repeated
+    rows and ids are rows like any others; an empty table gives an empty
+    result; other columns are ignored.
     """
-    statistics = materialize(document_statistics(docs, id_col, text_col, lang_col), "quality-statistics")
-    judged = judge(statistics, language_references(statistics), **limits)
+    vocabulary = common_words(docs, text_col=text_col, lang_col=lang_col)
+    statistics = materialize(document_statistics(docs, vocabulary, id_col, text_col, lang_col), "quality-statistics")
+    first = judge(statistics, vocabulary, language_references(statistics, vocabulary), **limits)
+    references = language_references(first.filter(~F.col("diverges")), vocabulary)
+    judged = judge(statistics, vocabulary, references, **limits).drop("classes", "words", "uses")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("diverges"))
 
