@@ -4,12 +4,14 @@ Pieces are dealt to partitions and packed there by best-fit decreasing. Dual
 feasible functions give a lower bound on the bins that a partition's pieces
 need; where the count meets the bound the partition is finished. The others
 pool the pieces of their unfilled bins, are dealt anew to fewer partitions and
-run best-fit decreasing again, until a round no longer saves bins.
+run best-fit decreasing again, until all is certified or a round no longer
+saves a bin. What is then left open is the gap to the bound of all pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,8 +27,6 @@ from passagemill.shipping import ship_package
 
 #: Pieces per partition in the first round; bounds the memory of a packing task.
 PIECES_PER_PARTITION = 20_000
-#: Exchange rounds at most.
-ROUNDS = 3
 
 
 def dff_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -37,9 +37,12 @@ def dff_bound(sizes: np.ndarray, capacity: int) -> int:
     as their size; the best over t, the rounding functions floor((k+1)x) / k,
     and the total size, is taken.
     """
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return dff_bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity) if len(sizes) else 0
+
+
+def dff_bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """``dff_bound`` from the number of pieces of each size 0 .. capacity."""
+    count = count.astype(np.int64)
     mass = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
     number = np.concatenate([[0], np.cumsum(count)])
     t = np.arange(capacity // 2 + 1)
@@ -174,19 +177,26 @@ def _pack_round(items: DataFrame, partitions: int, capacity: int, round_no: int)
     return dealt.mapInArrow(pack, "uid long, length long, bin long, offset long, final boolean")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS, ranks_path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_partition: int = PIECES_PER_PARTITION, ranks_path: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and for all of them sequences, bound and gap.
 
     Null text is empty and takes one token, the end id. A document longer than
     ``capacity`` is cut into pieces of ``capacity`` tokens of which the first
     may be shorter; full pieces are sequences of their own. Repeated rows are
-    packed once each. An empty table gives an empty result. Sequence ids are
-    distinct, not gapless; full pieces have negative ones.
+    packed once each. An empty table gives an empty result; other columns are
+    ignored. Sequence ids are distinct, not gapless; full pieces have negative
+    ones. ``bound`` is the least number of sequences that any packing of these
+    pieces needs by the dual feasible functions, ``gap`` how many more this one
+    has.
     """
     pieces = materialize(tokenized_pieces(docs, capacity, end_id, id_col, text_col, ranks_path), "packing-pieces")
     items = pieces.filter(F.col("length") < capacity).select("uid", "length")
+    histogram = np.zeros(capacity + 1, dtype=np.int64)
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
+        histogram[r["length"]] = r["n"]
+    bound = dff_bound_of_counts(histogram, capacity)
     todo, bins_before, done = items, None, []
-    for round_no in range(rounds + 1):
+    for round_no in itertools.count():
         left = todo.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("mass")).first()
         if not left["n"]:
             break
@@ -204,13 +214,15 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_co
             break
         todo, bins_before = packed.filter(~F.col("final")), counts["open"]
     full = pieces.filter(F.col("length") >= capacity).select(*pieces.columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rows = full
+    rows, sequences = full, int(histogram[capacity])
     if done:
         placed = done[0]
         for more in done[1:]:
             placed = placed.unionByName(more)
+        sequences += placed.filter("offset = 0").count()
         rows = full.unionByName(pieces.join(placed.select("uid", F.col("bin").alias("sequence_id"), "offset"), "uid"))
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    told = [F.lit(n).cast("long").alias(name) for name, n in (("sequences", sequences), ("bound", bound), ("gap", sequences - bound))]
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *told)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
