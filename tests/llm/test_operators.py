@@ -1,6 +1,6 @@
 """Each operator on made-up rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, brute force."""
 
-import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagemill.llm import kernels as K
-from passagemill.llm import language, line_dedup, mixing, packing, pii, quality, sharding, toxicity
+from passagemill.llm import language, line_dedup, mixing, packing, pii, quality, scratch, sharding, skew, toxicity
 from passagemill.llm.components import connected_components
 from passagemill.llm.exact_dedup import exact_dedup
 from passagemill.llm.ngram_join import ngram_jaccard_join
@@ -118,9 +118,48 @@ def test_mix_meets_targets_and_order(docs, rows, none):
     assert mixing.mix_sources(none).count() == 0
 
 
-def test_demand_time_inverts_the_integral(spark):
-    row = spark.range(1).select(mixing.demand_time(F.lit(0.3), F.lit(1.5), F.lit(0.5)).alias("t"), mixing.demand_time(F.lit(0.3), F.lit(1.0), F.lit(1.0)).alias("flat")).first()
-    assert 1.5 * row["t"] - row["t"] ** 2 / 2 == pytest.approx(0.3) and row["flat"] == pytest.approx(0.3)
+@pytest.mark.parametrize("schedule", [*mixing.SCHEDULES, ((0, 1.0), (0.3, 0.0), (0.6, 0.0), (1, 3.0))])
+def test_demand_time_inverts_the_integral(spark, schedule):
+    shares = [0.0, 0.05, 0.2, 0.3, 0.5, 0.77, 0.999]
+    got = spark.createDataFrame([(s,) for s in shares], "s double").select("s", mixing.demand_time(F.col("s"), schedule).alias("t")).collect()
+    grid = np.linspace(0, 1, 200_001)
+    weight = np.interp(grid, *zip(*schedule, strict=True))
+    area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)]) / ((weight[1:] + weight[:-1]) / 2).sum()
+    for r in got:
+        assert np.interp(r["t"], grid, area) == pytest.approx(r["s"], abs=1e-6)
+    with pytest.raises(ValueError):
+        mixing.demand_time(F.lit(0.5), ((0.1, 1.0), (1, 1.0)))
+
+
+def test_positions_by_brute_force(docs):
+    """Every pass starts where its source's demand reaches the words before it; the mix has the rows that the plan takes."""
+    got = mixing.mix_sources(docs).collect()
+    names = sorted({r["source"] for r in got}, key=lambda x: (x is None, x or ""))
+    for no, name in enumerate(names):
+        group = [r for r in got if r["source"] == name]
+        schedule, goal = mixing.SCHEDULES[no % 3], max(1, round(group[0]["target"]))
+        passes = sorted((p["position"], p["words"]) for r in group for p in r["passes"])
+        grid = np.linspace(0, 1, 100_001)
+        weight = np.interp(grid, *zip(*schedule, strict=True))
+        area = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        before = 0
+        for position, words in passes:
+            assert np.interp(position, grid, area / area[-1]) == pytest.approx(before / goal, abs=1e-4)
+            before += words
+    wanted = Counter()
+    for r in got:
+        wanted[r["doc_id"], r["size"]] += sum(2 * p["words"] >= r["size"] for p in r["passes"])
+    mixed = mixing.mixed_documents(docs.withColumn("position", F.lit("clash")).withColumn("_row", F.lit(1)))
+    assert mixed.columns == [*docs.columns, "position", "_row"]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r["doc_id"], size(r["text"])) for r in mixed.collect()) == +wanted
+
+
+def test_mix_of_many_sources_and_nothing(docs, none, monkeypatch):
+    whole = Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "join_skewed", lambda rows, table, keys, how="inner": skew.join_skewed(rows, table, keys, how, broadcast_rows=0, hot_rows=2))
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect()) == whole
+    assert mixing.mixed_documents(none).count() == 0
 
 
 # --- 2
@@ -163,6 +202,21 @@ def test_personal_data_rows(docs, rows, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_by_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", "a@b.c " * 3000, "x" * 200_000 + " 10.0.0.1"] + ["mail a.b@c.de call +49 (30) 123-4567 pay 4111 1111 1111 1111 from 10.1.2.3"] * 3
+    texts += [" ".join(r.choice(("a@b.c", "1.2.3.4", "4111111111111111", "+1 269 555 3296", "v1.2.3", "call", "card", "12-34")) for _ in range(30)) for _ in range(40)]
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        text = texts[x["doc_id"]] or ""
+        base = pii.brute_force_base(text)
+        kinds = Counter(s.split(":")[0] for s in base.split(",") if s)
+        assert x["base"] == base and [x[f"n_{k}"] for k in pii.KINDS] == [kinds[k] for k in pii.KINDS]
+        spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in x["spans"].split(",") if s)]
+        assert set(base.split(",")) <= set(x["spans"].split(",")) and spans == sorted(spans, key=lambda t: t[0]) and all(0 <= a < b <= len(text) for a, b in spans)
+
+
 # --- 3
 
 
@@ -183,6 +237,31 @@ def test_toxicity_learns_held_out(spark, none):
     assert 0 <= got[900]["score"] == got[901]["score"] <= 1
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, labels.limit(0), F.lit(True))).count() == 402
     assert toxicity.score_toxicity(none, model).count() == 0
+    # The model by hand, on whole and very long texts, twice the same row, ties.
+    more = spark.createDataFrame([(1, "x " * 100_000 + "idiot"), (1, "x " * 100_000 + "idiot"), (2, "moron a b"), (3, "moron a b")], "doc_id long, text string")
+    scored = toxicity.score_toxicity(more.withColumn("score", F.lit("clash")), model).collect()
+    for x in scored:
+        grams = {int(b) for b in toxicity.ngram_buckets(x["text"])}
+        z = model.bias + sum(model.weights[model.place[b]] for b in {b for b in grams if model.place[b] >= 0})
+        assert x["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert scored[0]["score"] == scored[1]["score"] and scored[2]["score"] == scored[3]["score"]
+
+
+def test_toxicity_training_is_bounded_and_by_hand(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k} scum" if k % 3 == 0 else f"text {k}") for k in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    old = toxicity._class_counts
+    try:
+        toxicity._class_counts = lambda rows: (seen.append(rows.count()), old(rows))[1]
+        toxicity.fit_toxicity_model(docs, labels, F.lit(True), training_rows=30)
+        toxicity.fit_toxicity_model(docs, labels, F.lit(True))
+    finally:
+        toxicity._class_counts = old
+    assert seen == [30, 60]
+    pos, neg = np.array([9, 1, 0, 5]), np.array([1, 9, 3, 5])
+    chosen, ratios = toxicity.choose_features(pos, neg, 10, 10, 2)
+    assert chosen.tolist() == [0, 1] and ratios[0] == pytest.approx(np.log((10 / 12) / (2 / 12)))
 
 
 # --- 4
@@ -254,22 +333,64 @@ def test_divergent_text_is_rejected(spark):
     assert not got[99]["kept"] and got[99]["class_distance"] > quality.MAX_CLASS_DISTANCE and all(got[k]["kept"] for k in range(40))
 
 
-def test_text_without_common_words_is_rejected(spark):
+COMMON = {"en": "the of and to in a is that for it", "fr": "de la le et les des en un du une", "xx": "ko mu ta re si vo na pe du li"}
+
+
+def test_text_without_common_words_is_rejected_in_every_language(spark):
     r = random.Random(3)
-    common = [quality.COMMON_WORDS[lang].split() for lang in ("en", "fr")]
-    clean = [(k, " ".join(r.choice(common[k % 2]) if r.random() < 0.22 else r.choice(WORDS) for _ in range(200)), ("en", "fr")[k % 2], "a") for k in range(60)]
-    bare = [(100 + k, prose(200, 300 + k), "en", "a") for k in range(3)]
-    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame([*clean, *bare], SCHEMA)).collect()}
-    assert all(got[k]["kept"] for k in range(60))
-    for k in range(100, 103):
+    rare = [f"{a}{b}{c}" for a in WORDS[:30] for b in WORDS[30:60] for c in ("", "e")]
+    langs = list(COMMON)
+    clean = [(k, " ".join(r.choice(COMMON[langs[k % 3]].split()) if r.random() < 0.3 else r.choice(rare) for _ in range(200)), langs[k % 3], "a") for k in range(150)]
+    bare = [(1000 + k, " ".join(r.choice(rare) for _ in range(200)), langs[k], "a") for k in range(3)]
+    docs = spark.createDataFrame([*clean, *bare], SCHEMA)
+    words = quality.common_words(docs, 10)
+    for lang in langs:
+        assert set(words[lang].tolist()) == set(K.word_hashes(pa.array([COMMON[lang]]))[0].tolist())
+    got = {x["doc_id"]: x for x in quality.quality_rules(docs).collect()}
+    assert all(got[k]["kept"] and got[k]["closest_lang"] == langs[k % 3] for k in range(150))
+    for k in range(1000, 1003):
         assert not got[k]["kept"] and not got[k]["base_failed"] and got[k]["class_distance"] <= quality.MAX_CLASS_DISTANCE
 
 
-def test_word_limit_of_a_language_without_listed_words(spark):
-    reference = np.append(np.zeros(len(quality.common_words())), 1.0)
-    assert quality.word_limit(reference) == quality.MAX_WORD_DISTANCE
-    plain = [(k, prose(80, k), "xx", "a") for k in range(20)]
-    assert all(r["kept"] for r in quality.quality_rules(spark.createDataFrame(plain, SCHEMA)).collect())
+def test_verdicts_by_brute_force(spark):
+    r = random.Random(9)
+    data = [(k, " ".join(r.choice(COMMON["en" if k % 2 else "fr"].split()) if r.random() < 0.3 else r.choice(WORDS) for _ in range(r.choice((20, 60, 90)))) + ("#" * (k % 7) * 20), "en" if k % 2 else "fr", "a") for k in range(60)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    words = quality.common_words(docs)
+    statistics = quality.document_statistics(docs, words)
+    references = quality.language_references(statistics, words)
+    table, hashes = quality._class_table(), {}
+    for _, text, *_ in data:
+        for w in text.split():
+            hashes[w] = K.word_hashes(pa.array([w]))[0][0]
+
+    def histograms(text, lang):
+        classes = sum(table[b] for b in text.encode()) / sum(sum(table[b]) for b in text.encode())
+        shares = np.array([sum(hashes[w] == h for w in text.split()) for h in words[lang]]) / len(text.split())
+        return classes, np.append(shares, 1 - shares.sum())
+
+    for lang in ("en", "fr"):
+        mine = [histograms(t, lang) for _, t, own, _ in data if own == lang and len(t.split()) >= 50]
+        assert references[lang][0] == pytest.approx(np.mean([m[0] for m in mine], axis=0)) and references[lang][1] == pytest.approx(np.mean([m[1] for m in mine], axis=0))
+    for x in quality.judge(statistics, words, references).collect():
+        text = data[x["doc_id"]][1]
+        options = []
+        for lang in ("en", "fr"):
+            classes, shares = histograms(text, lang)
+            c, w = quality.jensen_shannon(classes[None], references[lang][0])[0], quality.jensen_shannon(shares[None], references[lang][1])[0]
+            options.append((c / quality.MAX_CLASS_DISTANCE + w / quality.word_limit(references[lang][1]), lang, c, w))
+        _, lang, c, w = min(options)
+        if len(text.split()) < 50:
+            assert x["closest_lang"] is None and not x["diverges"]
+        else:
+            assert (x["closest_lang"], x["class_distance"], x["word_distance"]) == (lang, pytest.approx(c), pytest.approx(w))
+            assert x["diverges"] == (c > quality.MAX_CLASS_DISTANCE or w > quality.word_limit(references[lang][1]))
+
+
+def test_quality_of_many_languages(spark):
+    rows = [(k, prose(80, k), f"l{k % 70:02d}", "a") for k in range(140)]
+    got = quality.quality_rules(spark.createDataFrame([*rows, (500, prose(80, 1), None, None)], SCHEMA).withColumn("classes", F.lit("clash"))).collect()
+    assert len(got) == 141 and len({r["closest_lang"] for r in got}) > 64
 
 
 def test_jensen_shannon_bounds():
@@ -323,6 +444,9 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(51)) and got[100] == got[101] == got[102] == 100
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    hub = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(k, 1000 + k) for k in range(1, 300)], "a long, b long")
+    split = connected_components(hub, broadcast_rows=0)
+    assert {r["root"] for r in split.collect()} == {0} and split.count() == 599
 
 
 # --- 7
@@ -355,15 +479,21 @@ def test_lines_by_brute_force(spark, rows, none, keys):
 
 def test_full_filters_change_nothing(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
-    old = line_dedup.MIN_BITS
-    try:
-        line_dedup.MIN_BITS = 1 << 19
-        small = line_dedup.drop_repeated_lines(docs, min_chars=1, min_docs=2, max_bits=1 << 19).collect()
-    finally:
-        line_dedup.MIN_BITS = old
+    # Filters of 8 bits, and more suspects than may be broadcast.
+    small = line_dedup.drop_repeated_lines(docs, min_chars=1, min_docs=2, max_bits=8, broadcast_suspects=0).collect()
     assert Counter(map(tuple, small)) == Counter(map(tuple, line_dedup.drop_repeated_lines(docs, min_chars=1, min_docs=2).collect()))
 
 
+def test_suspects_hold_every_repeat():
+    r = np.random.default_rng(4)
+    h = r.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    parts = [h[:8000], h[7000:15_000], np.concatenate([h[15_000:], h[19_990:]])]
+    repeated = set(h[7000:8000].tolist()) | set(h[19_990:].tolist())
+    found = set(line_dedup.suspected(parts, 12 * 20_000).tolist())
+    assert repeated <= found and len(found) < len(repeated) + 1000
+    assert set(h.tolist()) >= set(line_dedup.suspected(parts, 64).tolist()) >= repeated
+
+
 # --- 8
 
 
@@ -382,12 +512,49 @@ def test_exact_dedup_by_brute_force(docs, rows, none):
     assert exact_dedup(none).count() == 0
     joined = exact_dedup(docs, prefix_chars=1, broadcast_rows=0).groupBy("kept").count().collect()
     assert {r["kept"]: r["count"] for r in joined} == dict(Counter(r["kept"] for r in got))
-    for options in ({"hot_rows": 2}, {"hot_rows": 3, "broadcast_rows": 1}):
+    for options in ({"hot_rows": 2, "broadcast_rows": 0}, {"hot_rows": 3, "broadcast_rows": 1}):
         split = exact_dedup(docs, **options).collect()
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in split) == Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got)
         assert Counter(r["kept"] for r in split) == Counter(r["kept"] for r in got)
 
 
+def test_stages_hash_only_what_is_left(spark):
+    texts = ["a" * k for k in range(1, 6)] + ["bcd", "xyz12", "xyz34", "same text", "same  text", "samf text"]
+    stages = {}
+    got = exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), prefix_chars=3, stages=stages).collect()
+    # Lengths 3, 5 and 9 recur; at them the prefixes xyz and sam do.
+    assert stages == {"rows": 11, "prefix": 8, "full": 5}
+    assert {r["doc_id"]: r["keep_id"] for r in got if not r["kept"]} == {9: 8}
+
+
+def test_columns_with_internal_names_survive(docs):
+    names = ["_len", "_prefix", "_full", "_row", "_size", "length", "prefix", "full", "number", "row", "id", "first", "rows", "size", "a.b"]
+    more = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    got = exact_dedup(more, hot_rows=2, broadcast_rows=0)
+    assert got.columns == [*more.columns, "keep_id", "group_size", "kept"]
+    assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(names)}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skewed_join_is_the_join(spark, how):
+    rows = spark.createDataFrame([(k % 7 if k > 40 else 1, k) for k in range(80)] + [(None, 99), (55, 98)], "key long, v long")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "key long, name string")
+    wanted = Counter(map(tuple, rows.join(table, "key", how).collect()))
+    for broadcast_rows, hot_rows in ((100, 1), (0, 5), (3, 5), (0, 10_000)):
+        assert Counter(map(tuple, skew.join_skewed(rows, table, "key", how, broadcast_rows, hot_rows).collect())) == wanted
+
+
+def test_scratch_is_deleted_on_request(spark, docs):
+    with scratch.recording() as paths:
+        kept = exact_dedup(docs).filter("kept").count()
+    assert kept and paths
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    names = {p.rsplit("/", 1)[1] for p in paths}
+    assert names & set(os.listdir(folder))
+    scratch.release(spark, paths)
+    assert not names & set(os.listdir(folder))
+
+
 # --- 9
 
 
@@ -410,7 +577,8 @@ def test_packing_round_trip(docs, rows, none, per_partition):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    rows = [*rows, (400, "hello <|endoftext|> world " * 20, None, None)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[-1:], SCHEMA)).withColumn("uid", F.lit("clash")).withColumn("gap", F.lit("clash"))
     wanted = Counter()
     for d, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -429,9 +597,18 @@ def test_packing_round_trip(docs, rows, none, per_partition):
             assert offset == at
             at += length
         assert at <= 64
+    assert {(r["sequences"], r["gap"]) for r in got} == {(len(bins), len(bins) - got[0]["bound"])} and got[0]["bound"] * 64 >= sum(r["length"] for r in got)
     assert packing.pack_documents(none).count() == 0
 
 
+def test_exchange_goes_on_until_certified(spark):
+    rows = spark.createDataFrame([(k, "a " * (200 + 7 * (k % 41))) for k in range(400)], "doc_id long, text string")
+    first = packing.pack_documents(rows, per_partition=400).first()
+    dealt = packing.pack_documents(rows, per_partition=50).first()
+    # A certified partition keeps its bins: what is lost is under a bin for each of eight partitions.
+    assert first["bound"] == dealt["bound"] and dealt["sequences"] <= first["sequences"] + 8
+
+
 def test_packing_encodes_added_tokens_and_long_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -459,3 +636,56 @@ def test_language_held_out(spark, none):
     assert all(0 <= x["score"] <= 1 for x in got.values())
     assert language.identify_language(none, model).count() == 0
     assert {x["lang_pred"] for x in language.identify_language(docs, language.fit_language_model(none, F.lit(True))).collect()} == {"und"}
+
+
+def sample(lang, n, seed):
+    r = random.Random(f"{lang}{seed}")
+    letters = random.Random(lang).sample("abcdefghijklmnopqrstuvwxyzàéîõüçñßøåæ", 9)
+    parts = [random.Random(f"{lang}{k}").choice(letters) + random.Random(f"{lang}-{k}").choice(letters) for k in range(14)]
+    return " ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(n))
+
+
+def test_every_language_is_learned(spark):
+    langs = [f"l{k:02d}" for k in range(70)]
+    data = [(k, sample(langs[k % 70], 60, k), langs[k % 70], None) for k in range(280)]
+    model = language.fit_language_model(spark.createDataFrame(data, SCHEMA), F.lit(True))
+    assert len(model.contents) == 70
+    right = sum(model.predict(sample(lang, 60, 999))[0] == lang for lang in langs)
+    assert right >= 66
+
+
+def test_a_long_text_is_learned_whole(spark):
+    rows = [(1, sample("aa", 3000, 1), "aa", None), (2, sample("cc", 2000, 1) + "\n" + sample("bb", 9000, 2), "bb", None), (3, sample("cc", 3000, 3), "cc", None)]
+    assert len(rows[1][1].split("\n")[0]) > 8192
+    model = language.fit_language_model(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert model.predict(sample("bb", 80, 9))[0] == "bb" and model.predict(sample("cc", 80, 9))[0] == "cc"
+    assert model.predict(sample("cc", 2000, 5) + sample("bb", 9000, 5))[0] == "bb"
+
+
+def test_sample_is_bounded_with_repeated_ids(spark):
+    rows = [(1, f"{k} " + sample("aa", 40, k), "aa", None) for k in range(300)] * 2 + [(2, sample("bb", 40, 1), "bb", None)] * 50
+    seen = []
+    old = language.build_model
+    try:
+        language.build_model = lambda rows, margin: (seen.append(Counter(lang for lang, _ in rows)), old(rows, margin))[1]
+        language.fit_language_model(spark.createDataFrame(rows, SCHEMA), F.lit(True), sample_rows=20)
+        language.fit_language_model(spark.createDataFrame(rows, SCHEMA), F.lit(True), sample_bytes=1000)
+    finally:
+        language.build_model = old
+    assert seen[0] == {"aa": 20, "bb": 1} and 1 <= seen[1]["aa"] < 10
+
+
+def test_what_a_letter_is_and_predictions_by_hand(spark):
+    assert [language.has_letter(t) for t in ("½ ²", "12_3", "Ⅳ", "é", "1ª", "中")] == [False, False, False, True, True, True]
+    model = language.build_model([("aa", sample("aa", 400, 1)), ("bb", sample("bb", 400, 1))])
+    texts = ["½ ²", sample("aa", 5, 3), sample("bb", 30_000, 3), None, "", "same text", "same text"]
+    got = {r["doc_id"]: r for r in language.identify_language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    made = language._compressors(model.contents)
+    for k, text in enumerate(texts):
+        if not text or k == 0:
+            assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0
+        else:
+            data = text.lower().encode()
+            sizes = sorted((sum(len(c.compress(data[i : i + language.BLOCK_BYTES])) for i in range(0, len(data), language.BLOCK_BYTES)), name) for name, c in made.items())
+            assert got[k]["lang_pred"] == sizes[0][1] and got[k]["margin"] == pytest.approx((sizes[1][0] - sizes[0][0]) / sizes[1][0])
+    assert got[5][1:] == got[6][1:]

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from passagemill.llm.queries import ORACLE_SQL, QUERIES
 
@@ -41,6 +43,28 @@ def test_stages(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+def test_stages_on_awkward_tables(spark, folder, tmp_path):
+    """Clashing names, repeated rows and a very long text; then no rows at all."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = docs.limit(1).withColumn("doc_id", F.lit(500).cast("long")).withColumn("text", F.lit(text("en", 40_000, 3)))
+    more = docs.unionByName(docs.filter("doc_id < 5")).unionByName(long)
+    names = ["_key", "key", "row", "kept", "score", "rejected", "lang_pred", "keep_id", "position", "length"]
+    rows, nothing = more.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names)), docs.limit(0)
+    for k, (_, function) in enumerate(corpus_pipeline.STAGES):
+        columns = rows.columns
+        function(spark, rows, folder).write.parquet(f"{tmp_path}/rows{k}")
+        function(spark, nothing, folder).write.parquet(f"{tmp_path}/nothing{k}")
+        rows, nothing = spark.read.parquet(f"{tmp_path}/rows{k}"), spark.read.parquet(f"{tmp_path}/nothing{k}")
+        assert nothing.count() == 0
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert rows.columns == columns
+            for r in rows.collect():
+                assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+            ids = {r["doc_id"] for r in rows.select("doc_id").collect()}
+            assert 500 in ids or k == 3
+    assert ids <= {*range(60), 500}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
