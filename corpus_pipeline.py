@@ -39,40 +39,67 @@ def _stage(function):
     return run_stage
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that no operator adds, and the new name of each column."""
+    names = {c: f"column_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is named with a sufficient margin."""
+    """Documents whose language is named with a sufficient margin; those without a text or letter go.
+
+    Rows are judged one by one: repeated rows alike, ties by name, texts whole;
+    an empty table stays empty. Any further columns stay.
+    """
     model = fit_language_model(docs, ~F.coalesce(held_out(), F.lit(True)))
-    return identify_language(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    rows, names = _plain(docs)
+    kept = identify_language(rows, model, text_col=names["text"]).filter(~F.col("rejected"))
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 @_stage
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    """The document with the smallest id of each group of equal texts; null equals empty, of equal rows one stays.
+
+    Texts are compared whole; an empty table stays empty. Any further columns
+    stay.
+    """
+    rows, names = _plain(docs)
+    kept = exact_dedup(rows, names["doc_id"], names["text"]).filter("kept")
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 @_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group connected by five-word shingle similarity of 0.8 or more."""
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    keyed = docs.withColumn("_key", key)
-    groups = ngram_jaccard_join(keyed, words=5, percent=80, id_col="_key")
-    gone = scratch.materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct(), "near-gone")
+    """The document with the smallest id of each group connected by five-word shingle similarity of 0.8 or more.
+
+    Rows that share an id are told apart by their texts; rows equal in both
+    stay or go together. Documents without words stay. Texts are read whole; an
+    empty table stays empty. Any further columns stay.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text")).alias("key"))
+    groups = ngram_jaccard_join(keyed.select("key", F.col("row.text").alias("text")), words=5, percent=80, id_col="key")
+    gone = scratch.materialize(groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("key")).distinct(), "near-gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(gone, "key", "left_anti").select("row.*")
 
 
 @_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as the source targets ask."""
+    """Documents in training order, as often as the source targets ask.
+
+    A document without words takes no place in the mix. Repeated rows are
+    documents of their own; an empty table stays empty. Any further columns stay.
+    """
     return mixed_documents(docs)
 
 
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 1024 tokens."""
+    """Pieces of the documents with their places in sequences of 1024 tokens; each pass of a document is packed. Other columns are left out."""
     return pack_documents(docs)
 
 
