@@ -1,52 +1,24 @@
-"""Text functions as column expressions; all stay in the JVM."""
+"""Text functions as column expressions; all but the folding of accents stay in the JVM."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that take a full stop without ending a sentence.
-ABBREVIATIONS = (
-    "al approx ca cf dr eq eqs fig figs no nos prof ref refs resp sp spp ssp st suppl tab var viz vol vs"
-).split()
-
-# Query words that are not marked in a text.
-STOPWORDS = (
-    "a an and are as at be been by can did do does for from had has have how in is it its of on or than that the "
-    "their there these this to was were what when where which who why with"
-).split()
-
-# Headings of sections that are not part of an argument; each matches a whole lower-cased heading.
-BOILERPLATE_HEADINGS = (
-    r"acknowledge?ments?",
-    r"(sources? of )?funding( information| statement| sources?)?",
-    r"financial (support|disclosure)",
-    r"(conflicts? of interests?|competing interests?)( statement)?",
-    r"conflict of interest and funding",
-    r"declarations?( of (competing )?interests?)?",
-    r"disclosure( statement)?",
-    r"author(s'|s)? contributions?( statement)?",
-    r"credit authorship contribution statement",
-    r"contributors|contributor information|author information|authorship|about the authors?",
-    r"(data|code|software|materials|resource) availability( statement)?",
-    r"availability of (data|supporting) .*",
-    r"data (and code |and materials )?(availability|access|accessibility)( statement)?",
-    r"underlying data|source data|associated data|extended data",
-    r"(gene )?accession numbers?",
-    r"(other )?(supplementary|supplemental|additional) (material|materials|information|data|files?|data files)\b.*",
-    r"(foot)?notes?|editors? note|publisher's note",
-    r"peer review( information)?",
-    r"(key |uncited )?references( and notes)?|bibliography|literature cited",
-    r"abbreviations( used)?|glossary",
-    r"ethics( statement| approval| declarations?)?|ethical (approval|statement|clearance|permission)|ethic statement",
-    r"ethics approval and consent to participate|informed consent( statement)?|consent( for publication| to (publish|participate))?",
-    r"inclusion and ethics|institutional review board.*|role of the funder|orcid( ids?)?",
-)
-
-_DASHES = "–\\-−—"
-_CLOSERS = "[\"'”’)\\]]*"
+from passagemill.functions import patterns as R
+from passagemill.functions.patterns import ABBREVIATIONS, BOILERPLATE_HEADINGS, STOPWORDS  # noqa: F401
+
+_CLOSERS = R.CLOSERS
+
+
+def _rewrite(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, f"(?U){pattern}", by)
+    return text
 
 
 def collapse(text: Column) -> Column:
@@ -56,17 +28,12 @@ def collapse(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Collapsed text without zero-width spaces, empty brackets, or blanks inside brackets and before punctuation."""
-    out = collapse(F.regexp_replace(text, "​", ""))
-    out = F.regexp_replace(out, rf"(?U)[\[(][\s,;{_DASHES}]*[\])]", "")
-    out = F.regexp_replace(out, r"(?U)\s+([,.;:)\]])", "$1")
-    return collapse(F.regexp_replace(out, r"(?U)([(\[])\s+", "$1"))
+    return _rewrite(text, R.TIDY)
 
 
 def heading(title: Column) -> Column:
     """A title without its section number and closing full stops or colons."""
-    out = collapse(F.regexp_replace(title, "​", ""))
-    out = F.regexp_replace(out, r"^(?:\d+(?:\.\d+)*\.?|[A-Za-z]\.|[IVX]+\.)\s+(?=[A-Za-z])", "")
-    return F.trim(F.regexp_replace(out, "[.:]+$", ""))
+    return _rewrite(title, R.HEADING)
 
 
 def is_boilerplate(title: Column) -> Column:
@@ -77,9 +44,7 @@ def is_boilerplate(title: Column) -> Column:
 def is_numeric_marker(text: Column) -> Column:
     """A citation marker of numbers ("[1, 2]", "3-5") that is not a year alone."""
     marker = F.trim(text)
-    number = rf"^[\[(]?\s*\d+[a-z]?(\s*[,{_DASHES}]\s*\d+[a-z]?)*\s*[\])]?[\s,;]*$"
-    year = r"^[\[(]?\s*(?:19|20)\d{2}[a-z]?\s*[\])]?[\s,;]*$"
-    return marker.rlike(number) & ~marker.rlike(year)
+    return marker.rlike(f"^(?:{R.MARKER})$") & ~marker.rlike(f"^(?:{R.YEAR_MARKER})$")
 
 
 def sentences(text: Column) -> Column:
@@ -117,7 +82,7 @@ def query_terms(query: Column) -> Column:
 
 def numbers(sentence: Column) -> Column:
     """Distinct numbers, not those in names such as H1N1 or COVID-19, without thousands separators; "1,2" is two."""
-    found = F.regexp_extract_all(sentence, F.lit(r"(?<![A-Za-z\d])(?<![A-Za-z]-)\d+(?:[.,]\d+)*(?:\^-?\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(sentence, F.lit(R.NUMBER), F.lit(0))
     plain = F.transform(found, lambda n: F.split(F.regexp_replace(n, r",(?=\d{3}(?!\d))", ""), ","))
     return F.array_distinct(F.filter(F.flatten(plain), lambda n: n != ""))
 
@@ -150,19 +115,30 @@ def opening(text: Column, words: int = 30) -> Column:
 
 
 def normalise_doi(value: Column) -> Column:
-    found = F.regexp_extract(F.regexp_replace(value, r"\\_", "_"), r"(10\.\d{4,9}/\S+)", 1)
+    found = F.regexp_extract(F.regexp_replace(value, r"\\_", "_"), f"({R.DOI})", 1)
     return F.when(found != "", F.lower(F.regexp_replace(found, "[.,;)]+$", "")))
 
 
+def _fold(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts], dtype=object)
+
+
+def ascii_fold(text: Column) -> Column:
+    """Compatibility decomposition without what is not ASCII then; only texts that need it leave the JVM."""
+    return F.coalesce(F.pandas_udf(_fold, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def normalise_title(title: Column) -> Column:
-    """Lower-case letters and digits with single spaces, for titles without accents."""
-    return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
+    """Lower-case ASCII letters and digits with single spaces; accents are taken off."""
+    return F.trim(F.regexp_replace(F.lower(ascii_fold(title)), "[^a-z0-9]+", " "))
 
 
 def is_current(source: Column, line_start: Column, line_end: Column, stored: Column) -> Column:
     """Whether lines start..end of ``source`` still have the stored fingerprint."""
-    lines = F.slice(F.split(source, "\n"), line_start, line_end - line_start + 1)
-    return fingerprint(F.array_join(lines, "\n")) == stored
+    lines = F.split(source, "\n")
+    held = F.when((line_start >= 1) & (line_end >= line_start), F.slice(lines, F.greatest(line_start, F.lit(1)), F.greatest(line_end - line_start + 1, F.lit(0))))
+    # A range that is none, or null, holds nothing.
+    return F.coalesce(fingerprint(F.array_join(held, "\n")) == stored, F.lit(False))
 
 
 def document_of(paper: Column, note: Column, section: Column) -> Column:
@@ -170,6 +146,23 @@ def document_of(paper: Column, note: Column, section: Column) -> Column:
     return F.coalesce(paper, note, F.split(section, " > ")[0])
 
 
+def source_label(name: Column, year: Column, citable: Column) -> Column:
+    """How a source is named to people: its name, its year or n.d., and whether it may not be cited."""
+    return F.concat(name, F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")"), F.when(F.coalesce(citable, F.lit(False)), F.lit("")).otherwise(F.lit(", not citable")))
+
+
+def paper_of(key: Column, paper: Column) -> Column:
+    """Which paper a chunk counts for: its citation key, else its paper."""
+    return F.coalesce(F.nullif(key, F.lit("")), paper.cast("string"))
+
+
+def note_line(line: Column) -> Column:
+    """A line of a note as text; empty if only a quote mark or a plugin's boilerplate is left."""
+    shown = F.regexp_replace(_rewrite(line, R.NOTE_MARKS), r"(?U)\s+$", "")
+    core = F.btrim(shown, F.lit(" >"))
+    return F.when((core == "") | core.rlike("^(?:" + "|".join(f"(?:{p})" for p in R.NOTE_BOILERPLATE) + ")$"), F.lit("")).otherwise(shown)
+
+
 def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

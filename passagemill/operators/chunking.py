@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
+from passagemill.sources import readers
 
 CHUNK_WORDS, SPLIT_WORDS = 300, 400
 
@@ -61,20 +62,79 @@ def run_numbers(sizes: Column, limit: int = CHUNK_WORDS) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["runs"])
 
 
-def merge_paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc, n, text, words) passages from (doc, paragraphs): cut, gathered within the document, joined by a blank line.
+def merge_parts(parts: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """(keys, run, group): parts of each key gathered in order. ``parts`` has keys, p (order), text and the columns ``extra``.
 
-    Cutting happens on rows of one paragraph, and only long ones leave the JVM;
-    a document comes back together by its position column.
+    ``group`` lists structs (p, q, text, extra): a part over SPLIT_WORDS is cut
+    and q numbers its pieces, each with all of ``extra``; blank parts go.
+    Cutting happens on rows of one part, and only long ones leave the JVM; the
+    parts of a key come back together by p and q.
     """
-    one = documents.select("doc", F.posexplode("paragraphs").alias("p", "paragraph"))
-    short = one.filter(T.word_count(F.col("paragraph")) <= SPLIT_WORDS).select("doc", "p", F.filter(F.array("paragraph"), lambda x: T.collapse(x) != "").alias("cut"))
-    long = one.filter(T.word_count(F.col("paragraph")) > SPLIT_WORDS).select("doc", "p", split_passage(F.col("paragraph")).alias("cut"))
-    together = short.unionByName(long).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p", "cut"))).alias("ordered"))
-    sized = together.select("doc", F.flatten("ordered.cut").alias("parts")).withColumn("runs", run_numbers(F.transform("parts", T.word_count)))
-    last = F.coalesce(F.array_max("runs"), F.lit(-1))
+    size = T.word_count(F.col("text"))
+    short = parts.filter(size <= SPLIT_WORDS).select(*keys, "p", *extra, F.filter(F.array("text"), lambda x: T.collapse(x) != "").alias("cut"))
+    long = parts.filter(size > SPLIT_WORDS).select(*keys, "p", *extra, split_passage(F.col("text")).alias("cut"))
+    pieces_of = short.unionByName(long).select(*keys, "p", *extra, F.posexplode("cut").alias("q", "text"))
+    together = pieces_of.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "q", "text", *extra))).alias("parts"))
+    runs = together.withColumn("runs", run_numbers(F.transform("parts", lambda x: T.word_count(x["text"]))))
     grouped = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda r: r <= last),
-        lambda r: F.array_join(F.transform(F.filter(F.arrays_zip("parts", "runs"), lambda x: x["runs"] == r), lambda x: x["parts"]), "\n\n"),
+        F.sequence(F.lit(0), F.array_max("runs")), lambda r: F.transform(F.filter(F.arrays_zip("parts", "runs"), lambda x: x["runs"] == r), lambda x: x["parts"])
+    )
+    return runs.select(*keys, F.posexplode(grouped).alias("run", "group"))
+
+
+def joined(group: Column) -> Column:
+    return F.array_join(F.transform(group, lambda x: x["text"]), "\n\n")
+
+
+def merge_paragraphs(documents: DataFrame) -> DataFrame:
+    """(doc, n, text, words) passages from (doc, paragraphs): cut, gathered within the document, joined by a blank line."""
+    parts = documents.select("doc", F.posexplode("paragraphs").alias("p", "text"))
+    found = merge_parts(parts, ["doc"], []).select("doc", F.col("run").cast("long").alias("n"), joined(F.col("group")).alias("text"))
+    return found.withColumn("words", T.word_count(F.col("text")).cast("long"))
+
+
+def chunk_papers(papers: DataFrame) -> DataFrame:
+    """Passages of papers in reading order: the abstract, the body section by section, the captions.
+
+    papers has paper_id, key, citable, title, year, doi, source_file, abstract,
+    sections, captions and references as articles are read. Body paragraphs are
+    gathered within their section; abstracts and captions are only cut. ``cites``
+    are the references themselves, those of all paragraphs of a passage, each
+    once; ids without a reference are left out. chunk_id is paper_id#n.
+    """
+    own = ["paper_id", "key", "citable", "title", "year", "doi", "source_file"]
+    none = F.array().cast("array<string>")
+    body = papers.select("paper_id", F.posexplode("sections").alias("block", "s")).select("paper_id", "block", F.col("s.heading").alias("section"), F.posexplode("s.paragraphs").alias("p", "x"))
+    merged = merge_parts(body.select("paper_id", "block", "section", "p", "x.text", "x.cites"), ["paper_id", "block", "section"], ["cites"])
+    passages = merged.select("paper_id", F.lit(1).alias("part"), "block", F.col("run").alias("m"), "section", F.lit("body").alias("kind"), joined(F.col("group")).alias("text"), F.array_distinct(F.flatten(F.transform("group", lambda x: x["cites"]))).alias("ids"))
+
+    def alone(rows: DataFrame, part: int, kind: str) -> DataFrame:
+        cut = rows.select("paper_id", "block", "section", "ids", F.posexplode(pieces(F.col("text"))).alias("m", "text"))
+        return cut.select("paper_id", F.lit(part).alias("part"), "block", "m", "section", F.lit(kind).alias("kind"), "text", "ids")
+
+    abstracts = papers.select("paper_id", F.lit(0).alias("block"), F.lit("Abstract").alias("section"), F.coalesce("abstract", F.lit("")).alias("text"), none.alias("ids"))
+    captions = papers.select("paper_id", F.posexplode("captions").alias("block", "c")).select("paper_id", "block", F.col("c.label").alias("section"), "c.text", F.col("c.cites").alias("ids"))
+    every = passages.unionByName(alone(abstracts, 0, "abstract")).unionByName(alone(captions, 2, "caption"))
+    order = Window.partitionBy("paper_id").orderBy("part", "block", "m")
+    numbered = every.withColumn("n", F.row_number().over(order) - 1).join(papers.select(*own, "references"), "paper_id")
+    cites = F.filter(F.transform("ids", lambda rid: F.try_element_at("references", rid)), lambda r: r.isNotNull())
+    return numbered.select(F.concat("paper_id", F.lit("#"), "n").alias("chunk_id"), *own, "n", "section", "kind", "text", cites.alias("cites"))
+
+
+def chunk_notes(notes: DataFrame) -> DataFrame:
+    """(chunk_id, note, file, n, line_start, line_end, section, text, hash) passages of notes (note, file, source), gathered within their section.
+
+    The lines are those of the first and the last paragraph of a passage;
+    ``hash`` is the fingerprint of these lines as they stand in the file.
+    """
+    blocks = readers.note_blocks(notes).select("note", "section_no", "section", F.col("n").alias("p"), "text", "line_start", "line_end")
+    merged = merge_parts(blocks, ["note", "section_no", "section"], ["line_start", "line_end"])
+    order = Window.partitionBy("note").orderBy("section_no", "run")
+    placed = merged.select(
+        "note", "section", F.row_number().over(order).alias("n"), joined(F.col("group")).alias("text"),
+        F.element_at("group", 1)["line_start"].alias("line_start"), F.element_at("group", -1)["line_end"].alias("line_end"),
+    ).withColumn("n", F.col("n") - 1)
+    lines = F.slice(F.split("source", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1)
+    return placed.join(notes.select("note", "file", "source"), "note").select(
+        F.concat("note", F.lit("#"), "n").alias("chunk_id"), "note", "file", "n", "line_start", "line_end", "section", "text", T.fingerprint(F.array_join(lines, "\n")).alias("hash")
     )
-    return sized.select("doc", F.posexplode(grouped).alias("n", "text")).select("doc", F.col("n").cast("long").alias("n"), "text", T.word_count(F.col("text")).cast("long").alias("words"))

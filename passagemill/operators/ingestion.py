@@ -94,6 +94,13 @@ def papers(rows: DataFrame, parsed: DataFrame, entries: DataFrame, not_citable:
     )
 
 
+def choose_source(jats: Column, tei: Column) -> Column:
+    """struct(source, path): the publisher's article, else the layout parser's, else the Markdown itself."""
+    return F.when(jats.isNotNull(), F.struct(F.lit("jats").alias("source"), jats.alias("path"))).when(tei.isNotNull(), F.struct(F.lit("grobid").alias("source"), tei.alias("path"))).otherwise(
+        F.struct(F.lit("markdown").alias("source"), F.lit(None).cast("string").alias("path"))
+    )
+
+
 def fallback_reason(pdf_file: Column, pages: Column, failure: Column) -> Column:
     """Why a paper is read from its Markdown."""
     return (

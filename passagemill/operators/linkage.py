@@ -118,10 +118,14 @@ def link_cascade(records: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(rows: DataFrame, group: str = "paper_id") -> DataFrame:
-    """Add duplicate_of: null for each group's keeper (citable first, then with a PMCID, then by file), else the keeper's file."""
+    """Add duplicate_of: null for each group's keeper (citable first, then with a PMCID, then by file), else the keeper's file.
+
+    Rows with a null group are a group as well.
+    """
     keeper = F.min_by("source_file", F.struct(~F.col("citable"), F.col("pmcid").isNull(), F.col("source_file")))
-    kept = rows.groupBy(group).agg(keeper.alias("_keeper"))
-    return rows.join(kept, group).withColumn("duplicate_of", F.when(F.col("source_file") != F.col("_keeper"), F.col("_keeper"))).drop("_keeper")
+    kept = rows.groupBy(F.col(group).alias("_group")).agg(keeper.alias("_keeper"))
+    joined = rows.join(kept, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn("duplicate_of", F.when(F.col("source_file") != F.col("_keeper"), F.col("_keeper"))).drop("_keeper", "_group")
 
 
 def choose_copies(rows: DataFrame, group: str = "first") -> DataFrame:
@@ -148,10 +152,16 @@ def make_pairs(sentences: DataFrame, keys: DataFrame) -> DataFrame:
     return single.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("chunk_id", "position", F.col("text").alias("query"), "key", T.numbers(F.col("text")).alias("numbers"))
 
 
-def set_equality(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id) where the folded key sets agree and exactly one right row has that set."""
+def set_equality(left: DataFrame, right: DataFrame, size: int | None = None, seed: str = "2026") -> DataFrame:
+    """(left_id, right_id) where the folded key sets agree and exactly one right row has that set; right sets must not be empty.
+
+    ``size`` draws so many of them, the smallest hashes of seed and id.
+    """
+
     def folded(keys: Column) -> Column:
         return F.array_sort(F.array_distinct(F.transform(keys, F.lower)))
 
-    one = right.groupBy(folded(F.col("keys")).alias("_set")).agg(F.count("*").alias("_n"), F.min("right_id").alias("right_id")).filter("_n = 1")
-    return left.withColumn("_set", folded(F.col("keys"))).join(one, "_set").select("left_id", "right_id")
+    sets = right.filter(F.size("keys") > 0).groupBy(folded(F.col("keys")).alias("_set"))
+    one = sets.agg(F.count("*").alias("_n"), F.min("right_id").alias("right_id")).filter("_n = 1")
+    found = left.withColumn("_set", folded(F.col("keys"))).join(one, "_set").select("left_id", "right_id")
+    return found if size is None else found.orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col("left_id").cast("string"))), "left_id").limit(size)

@@ -21,6 +21,11 @@ def missing_texts(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return chunks.select("text_hash", "header", "text").dropDuplicates(["text_hash"]).join(store.select("text_hash"), "text_hash", "left_anti")
 
 
+def lacking(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """The chunks without a vector."""
+    return chunks.join(store.select("text_hash"), "text_hash", "left_anti")
+
+
 def hashing_encoder(dimensions: int = 64):
     """The offline default encoder: signed hashed token counts, unit length, the same on every machine."""
 
@@ -59,9 +64,8 @@ def refreshed_store(chunks: DataFrame, store: DataFrame, encoder=None) -> DataFr
 
 def load_vectors(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """(pos, vector) for every chunk; raises StaleIndex if one has none."""
-    lacking = chunks.join(store, "text_hash", "left_anti").count()
-    if lacking:
-        raise StaleIndex(f"{lacking} chunks have no vector; build the index again")
+    if missing := lacking(chunks, store).count():
+        raise StaleIndex(f"{missing} chunks have no vector; build the index again")
     return chunks.join(store, "text_hash").select("pos", "vector")
 
 

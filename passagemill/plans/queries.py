@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.operators import chunking, evaluation, lexical, linkage, ranking, vectors
-from passagemill.sources import articles, latex, readers
+from passagemill.partitions import spread
+from passagemill.sources import latex
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,11 @@ def line_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS title_md5 FROM documents")
+def _folded(text: str) -> str:
+    return f"trim(regexp_replace(lower(regexp_replace(strip_accents({text}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_folded('text')}) AS title_md5 FROM documents")
 def norm_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalise_title(F.col("text"))).alias("title_md5"))
 
@@ -102,29 +107,9 @@ def tidy_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.tidy(F.col("text"))).alias("tidy_md5"))
 
 
-_HEADINGS = ["2.1 Data collection", "3. Results", "A. Serology data", "1 × 300 data generation", "IV. Funding information:", "Acknowledgements", "5 Author contributions.", "Ethical and regulatory considerations", "References", "Data availability statement"]
-_HEADING_ROWS = "(VALUES " + ", ".join(f"('{h}')" for h in _HEADINGS) + ") h(title)"
 _HEADING_SQL = "trim(regexp_replace(coalesce(nullif(regexp_extract(trim(regexp_replace(title, '\\s+', ' ', 'g')), '^(?:\\d+(?:\\.\\d+)*\\.?|[A-Za-z]\\.|[IVX]+\\.)\\s+([A-Za-z].*)$', 1), ''), trim(regexp_replace(title, '\\s+', ' ', 'g'))), '[.:]+$', ''))"
 
 
-@query(f"SELECT title, {_HEADING_SQL} AS heading FROM {_HEADING_ROWS}")
-def heading_norm(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h in _HEADINGS], "title string").select("title", T.heading(F.col("title")).alias("heading"))
-
-
-@query(f"SELECT title FROM {_HEADING_ROWS} WHERE NOT regexp_full_match(lower({_HEADING_SQL}), '" + "|".join(f"(?:{p})" for p in T.BOILERPLATE_HEADINGS).replace("'", "''") + "')")
-def boilerplate_filter(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h in _HEADINGS], "title string").filter(~T.is_boilerplate(F.col("title")))
-
-
-_MARKERS = ["12", "3–5", "[2]", "(4, 7)", "13,", "2007", "(2007)", "1999a", "Fig 2", "[10, 12"]
-
-
-@query("SELECT m, regexp_full_match(trim(m), '[\\[(]?\\s*\\d+[a-z]?(\\s*[,–\\-−—]\\s*\\d+[a-z]?)*\\s*[\\])]?[\\s,;]*') AND NOT regexp_full_match(trim(m), '[\\[(]?\\s*(?:19|20)\\d{2}[a-z]?\\s*[\\])]?[\\s,;]*') AS is_marker FROM (VALUES " + ", ".join(f"('{m}')" for m in _MARKERS) + ") t(m)")
-def numeric_marker(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in _MARKERS], "m string").select("m", T.is_numeric_marker(F.col("m")).alias("is_marker"))
-
-
 _ABBREVIATIONS = "(" + ", ".join(f"'{a}'" for a in T.ABBREVIATIONS) + ")"
 
 
@@ -158,11 +143,6 @@ def query_terms(spark, sf_dir):
     return query_table(spark, sf_dir).select("query_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@query()
-def numbers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.numbers(F.col("text")), " ").alias("numbers"))
-
-
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 def block_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("hash"))
@@ -186,14 +166,13 @@ def describe_hit(spark, sf_dir):
 @query("SELECT doc_id, source || ' (' || coalesce(nullif(lang, 'en'), 'n.d.') || ')' || CASE WHEN coalesce(l.quality, 0) = 1 THEN '' ELSE ', not citable' END AS label FROM documents LEFT JOIN labels l USING (doc_id)")
 def source_label(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    year = F.coalesce(F.when(F.col("lang") != "en", F.col("lang")), F.lit("n.d."))
-    return docs.select("doc_id", F.concat("source", F.lit(" ("), year, F.lit(")"), F.when(F.coalesce("quality", F.lit(0)) == 1, F.lit("")).otherwise(F.lit(", not citable"))).alias("label"))
+    return docs.select("doc_id", T.source_label(F.col("source"), F.when(F.col("lang") != "en", F.col("lang")), F.col("quality") == 1).alias("label"))
 
 
 @query("SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN '' ELSE source END, ''), doc_id::VARCHAR) AS paper FROM documents")
 def paper_of(spark, sf_dir):
     key = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif(key, F.lit("")), F.col("doc_id").cast("string")).alias("paper"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.paper_of(key, F.col("doc_id")).alias("paper"))
 
 
 @query("WITH d AS (SELECT doc_id, substr(sha256(array_to_string(string_split(text, chr(10))[1:2], chr(10))), 1, 16) AS h, CASE WHEN doc_id % 3 = 0 THEN 'new line' || chr(10) || text ELSE text END AS now FROM documents) SELECT doc_id, substr(sha256(array_to_string(string_split(now, chr(10))[1:2], chr(10))), 1, 16) = h AS current FROM d")
@@ -222,18 +201,6 @@ def greedy_gather(spark, sf_dir):
     return rows.groupBy("doc_id", F.col("x.runs").cast("long").alias("run")).agg(F.count("*").alias("parts"), F.sum("x.sizes").cast("long").alias("words"))
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    return chunking.merge_paragraphs(_paragraphs(spark, sf_dir)).select("doc", "n", "words", F.md5("text").alias("text_md5"))
-
-
-@query()
-def split_long(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.select("doc_id", F.posexplode(chunking.pieces(F.col("text"))).alias("n", "piece"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), T.word_count(F.col("piece")).cast("long").alias("words"), F.md5("piece").alias("piece_md5"))
-
-
 # ---- retrieval --------------------------------------------------------------------------------------------------
 
 
@@ -290,19 +257,16 @@ def rerank_topk(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     chunks, asked = chunk_table(spark, sf_dir), query_table(spark, sf_dir)
     by_words, by_vector = lexical.bm25(chunks, asked), ranking.dense(vector_table(spark, sf_dir), vector_queries(spark, sf_dir))
-    fused = ranking.fuse([by_words, by_vector])
-    hits = ranking.rerank(fused, asked, chunks).filter("rank <= 10").select("query_id", "pos", F.round("score", 3).alias("score"), "rank")
-    for name, places in (("fused_place", fused), ("bm25_place", by_words), ("dense_place", by_vector)):
-        hits = hits.join(places.select("query_id", "pos", F.col("rank").alias(name)), ["query_id", "pos"], "left")
-    return hits
+    return ranking.hybrid({"bm25": by_words, "dense": by_vector}, asked, chunks).filter("rank <= 10").select(
+        "query_id", "pos", F.round("score", 3).alias("score"), "rank", F.col("before").alias("fused_place"), *(F.col("places")[m].alias(f"{m}_place") for m in ("bm25", "dense"))
+    )
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_RRF}, {_RR} SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT rr.* FROM rr JOIN labels l ON l.doc_id = rr.pos AND l.quality = 1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8")
 def filter_after_rank(spark, sf_dir):
     shortlist = ranking.rerank(_fused(spark, sf_dir), query_table(spark, sf_dir), chunk_table(spark, sf_dir))
     citable = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("pos"))
-    order = Window.partitionBy("query_id").orderBy("rank")
-    return shortlist.join(citable, "pos").select("query_id", "pos", F.row_number().over(order).cast("long").alias("place")).filter("place <= 8").withColumnRenamed("place", "rank")
+    return ranking.allowed_after_rank(shortlist, citable, 8)
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_RRF}, {_RR} SELECT query_id, pos, rank FROM rr UNION ALL SELECT query_id, pos, rank FROM rrf WHERE rank > 50")
@@ -318,9 +282,8 @@ def neighbours(spark, sf_dir):
 
 @query("SELECT b.item_id, d.doc_id AS pos FROM benchmark b JOIN documents h ON h.doc_id = b.item_id JOIN documents d ON d.source = h.source")
 def whole_document(spark, sf_dir):
-    chunks = chunk_table(spark, sf_dir).select("pos", "document")
-    wanted = query_table(spark, sf_dir).select(F.col("query_id").alias("item_id"), F.col("query_id").alias("pos")).join(chunks, "pos").select("item_id", "document")
-    return wanted.join(chunks, "document").select("item_id", "pos")
+    wanted = query_table(spark, sf_dir).select(F.col("query_id").alias("pos"))
+    return ranking.whole_document(chunk_table(spark, sf_dir), wanted).select(F.col("hit").alias("item_id"), "pos")
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------
@@ -370,9 +333,7 @@ m AS (SELECT metric, r, avg(value) AS mean FROM d JOIN v ON v.i = d.h % v.n GROU
 SELECT metric, round((SELECT avg(value) FROM mv x WHERE x.metric = m.metric), 9) AS mean, round(quantile_cont(m.mean, 0.025), 9) AS low, round(quantile_cont(m.mean, 0.975), 9) AS high FROM m GROUP BY metric""")
 def eval_summary(spark, sf_dir):
     values = evaluation.metric_values(_places(spark, sf_dir))
-    numbered = values.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("query_id")).cast("long") - 1)
-    bounds = evaluation.intervals(evaluation.resample_means(numbered.select("metric", "i", "value"), ["metric"]), ["metric"])
-    return values.groupBy("metric").agg(F.round(F.avg("value"), 9).alias("mean")).join(bounds, "metric")
+    return evaluation.summary(values, ["metric"])
 
 
 # ---- linkage, keepers, vectors ----------------------------------------------------------------------------------
@@ -393,11 +354,6 @@ def choose_copies(spark, sf_dir):
     return linkage.choose_copies(rows)
 
 
-@query("SELECT o_orderkey AS record, c_custkey AS key FROM orders JOIN customer ON c_custkey = o_custkey")
-def link_exact(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("record"), F.col("c_custkey").alias("key"))
-
-
 @query("SELECT title AS title, key FROM (SELECT md5(text) AS title, doc_id AS key, row_number() OVER (PARTITION BY md5(text) ORDER BY coalesce(quality, 0) = 1 DESC, doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id)) WHERE n = 1")
 def link_pick(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -405,14 +361,6 @@ def link_pick(spark, sf_dir):
     return linkage.pick(entries, "title")
 
 
-@query()
-def similar_title(spark, sf_dir):
-    """Every part name with a letter added against all part names."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), T.normalise_title(F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), F.col("p_partkey").cast("string"))).alias("title"))
-    entries = parts.select("key", F.lit(False).alias("cited"), F.col("key").alias("pos"), "title")
-    return linkage.similar_titles(parts.select(F.col("key").alias("record"), F.concat("title", F.lit("s")).alias("title")), entries).select("record", "key", F.round("ratio", 9).alias("ratio"))
-
-
 @query("SELECT lower(source) AS folded, arg_max(source, doc_id) AS key FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1")
 def library_keys(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
@@ -429,18 +377,11 @@ def new_docs_anti(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("""WITH s AS (SELECT conv_id, list_sort(list_distinct(list(lower(role)))) AS k FROM conversations GROUP BY conv_id), one AS (SELECT k, min(conv_id) AS right_id FROM s GROUP BY k HAVING count(*) = 1)
-SELECT s.conv_id AS left_id, right_id FROM s JOIN one USING (k)""")
-def set_equality_join(spark, sf_dir):
-    sets = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("keys"))
-    return linkage.set_equality(sets.withColumnRenamed("conv_id", "left_id"), sets.withColumnRenamed("conv_id", "right_id"))
-
-
 _COMMON = ["about", "after", "between"]
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda x: length(x) >= 5 AND x NOT IN ('about', 'after', 'between')) AS t,
- string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS b FROM documents)
+@query(f"""WITH w AS (SELECT doc_id, list_filter(list_distinct(string_split({_folded("string_split(text, chr(10))[1]")}, ' ')), lambda x: length(x) >= 5 AND x NOT IN ('about', 'after', 'between')) AS t,
+ string_split({_folded("text")}, ' ') AS b FROM documents)
 SELECT doc_id, round(CASE WHEN len(t) < 2 THEN 1.0 ELSE len(list_intersect(t, b)) / len(t)::DOUBLE END, 9) AS share FROM w""")
 def title_containment(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(linkage.title_containment(F.split("text", "\n")[0], F.col("text"), _COMMON), 9).alias("share"))
@@ -467,10 +408,10 @@ def incremental_embed(spark, sf_dir):
 
 @query(f"WITH {_HASHED} SELECT count(*) AS missing FROM h WHERE x NOT IN (SELECT x FROM s)")
 def missing_vectors(spark, sf_dir):
-    return _hashed(spark, sf_dir).join(_stored(spark, sf_dir), "text_hash", "left_anti").agg(F.count("*").alias("missing"))
+    return vectors.lacking(_hashed(spark, sf_dir), _stored(spark, sf_dir)).agg(F.count("*").alias("missing"))
 
 
-@query()
+@query(f"WITH {_HASHED} SELECT DISTINCT substr(x, 1, 16) AS text_hash, 64 AS dimensions FROM h WHERE x NOT IN (SELECT x FROM s)")
 def encode_new_texts(spark, sf_dir):
     return vectors.encode_missing(_hashed(spark, sf_dir), _stored(spark, sf_dir)).select("text_hash", F.size("vector").alias("dimensions"))
 
@@ -478,38 +419,6 @@ def encode_new_texts(spark, sf_dir):
 # ---- reports and parsers ----------------------------------------------------------------------------------------
 
 
-@query("SELECT coalesce(source, 'all') AS kind, count(*) AS papers, median(n_chars) AS median_chars, round(avg(CASE WHEN contains(text, chr(10)) THEN 1.0 ELSE 0.0 END), 9) AS citing FROM documents GROUP BY ROLLUP (source)")
-def ingest_report_rollup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.rollup("source").agg(F.count("*").alias("papers"), F.median("n_chars").alias("median_chars"), F.round(F.avg(F.col("text").contains("\n").cast("double")), 9).alias("citing")).select(F.coalesce("source", F.lit("all")).alias("kind"), "papers", "median_chars", "citing")
-
-
-@query("""WITH w AS (SELECT lang, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS n FROM documents)
-SELECT coalesce(lang, 'all') AS kind, count(*) AS chunks, median(n) AS median_words, round(avg(CASE WHEN n BETWEEN 150 AND 400 THEN 1.0 ELSE 0.0 END), 9) AS within, round(avg(CASE WHEN n < 150 THEN 1.0 ELSE 0.0 END), 9) AS short FROM w GROUP BY ROLLUP (lang)""")
-def chunk_report_rollup(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("lang", T.word_count(F.col("text")).alias("n"))
-    share = lambda c: F.round(F.avg(c.cast("double")), 9)
-    return words.rollup("lang").agg(F.count("*").alias("chunks"), F.median("n").alias("median_words"), share(F.col("n").between(150, 400)).alias("within"), share(F.col("n") < 150).alias("short")).select(F.coalesce("lang", F.lit("all")).alias("kind"), "chunks", "median_words", "within", "short")
-
-
-@query("SELECT count(*) AS passages, count(DISTINCT conv_id) AS notes, median(length(text)) AS median_chars FROM conversations")
-def notes_report(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").agg(F.count("*").alias("passages"), F.count_distinct("conv_id").alias("notes"), F.median(F.length("text")).alias("median_chars"))
-
-
-@query()
-def note_blocks(spark, sf_dir):
-    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note"), F.col("text").alias("source"))
-    return readers.note_blocks(notes).select("note", "n", "line_start", "line_end", F.md5("text").alias("text_md5"))
-
-
-@query()
-def markdown_pages(spark, sf_dir):
-    marked = F.concat(F.lit("# Title\n- Year: 2001\n## Extracted Full Text\n## Page 1\n"), "text", F.lit("\n## Page 2\n"), "text")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(readers.pages(marked)).alias("n", "page"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.md5("page").alias("page_md5"))
-
-
 # ---- grids of configurations ------------------------------------------------------------------------------------
 
 CONFIGURATIONS = [("bm25",), ("dense",), ("bm25", "dense")]
@@ -559,14 +468,6 @@ def rerank_depths(spark, sf_dir):
     return ranking.rerank_depths(_fused(spark, sf_dir), query_table(spark, sf_dir), chunk_table(spark, sf_dir))
 
 
-@query()
-def number_share(spark, sf_dir):
-    asked = query_table(spark, sf_dir)
-    chunks = chunk_table(spark, sf_dir).select("pos", F.col("pos").alias("paper"), "text")
-    answers = _answers(spark, sf_dir).withColumnRenamed("pos", "paper")
-    return evaluation.number_share(lexical.bm25(chunk_table(spark, sf_dir), asked), chunks, answers, asked.select("query_id", T.numbers(F.col("text")).alias("numbers")))
-
-
 # ---- reading in context, articles and books ---------------------------------------------------------------------
 
 
@@ -575,34 +476,6 @@ def document_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.document_of(F.nullif("source", F.lit("")), F.lit(None), F.col("text")).alias("document"))
 
 
-@query()
-def highlight(spark, sf_dir):
-    terms = ["the", "and", "data"]
-    return table(spark, sf_dir, "documents").select("doc_id", T.highlight(F.col("text"), terms).alias("html"))
-
-
-@query("SELECT doc_id, coalesce(l.quality, 0) AS quality FROM documents JOIN labels l USING (doc_id)")
-def load_vectors(spark, sf_dir):
-    labelled = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    chunks = labelled.join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("pos"), F.sha2(F.concat_ws("-", F.col("doc_id")), 256).alias("text_hash"), F.array(F.coalesce("quality", F.lit(0)).cast("float")).alias("vector"))
-    return vectors.load_vectors(chunks.select("pos", "text_hash"), chunks.select("text_hash", "vector")).select(F.col("pos").alias("doc_id"), F.col("vector")[0].cast("int").alias("quality"))
-
-
-def _as_article(text, doc_id):
-    """A document as the body of a JATS article, a paragraph for each line."""
-    safe = T.escape_html(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
-    body = F.array_join(F.transform(F.split(safe, "\n"), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "")
-    front = F.concat(F.lit("<front><article-meta><title-group><article-title>"), doc_id.cast("string"), F.lit("</article-title></title-group></article-meta></front>"))
-    return F.concat(F.lit("<article>"), front, F.lit("<body><sec><title>1. Text</title>"), body, F.lit("</sec></body></article>")).cast("binary")
-
-
-@query("SELECT doc_id, count(*) FILTER (regexp_replace(line, '\\s', '', 'g') <> '') AS paragraphs FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY doc_id")
-def parse_jats(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), _as_article(F.col("text"), F.col("doc_id")).alias("content"))
-    paragraphs = F.flatten(F.transform("sections", lambda s: s["paragraphs"]))
-    return articles.parse_articles(files, "jats").select(F.col("title").cast("long").alias("doc_id"), F.size(paragraphs).alias("paragraphs"))
-
-
 @query()
 def latex_blocks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -190,6 +190,14 @@ def plain(marked: str) -> str:
     return P.tidy(_CITATION.sub("", marked))
 
 
+def field_text(value: str) -> str:
+    """A field of a bibliography as plain text, or as it stands if it cannot be read."""
+    try:
+        return Renderer(value).text
+    except (IndexError, ValueError, RecursionError):
+        return value
+
+
 def heading_title(latex: str) -> str:
     found = re.search(r"\\(?:" + "|".join(LEVELS) + r")\*?\s*(?:\[[^\]]*\])?\s*(?=\{)", latex)
     if not found:

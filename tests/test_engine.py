@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.operators import chunking, evaluation, lexical, linkage, ranking, vectors
-from passagemill.plans import queries
+from passagemill.plans import library_queries
 from passagemill.sources import readers
 from passagemill.streaming import ingest
 
@@ -123,7 +123,7 @@ def test_similar_titles_by_brute_force(spark):
 def test_similar_title_takes_every_part(spark, tmp_path):
     rows = [(k, "grey wrench", "economy plated") for k in range(150, 260)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
-    assert {r["record"]: r["key"] for r in queries.similar_title(spark, str(tmp_path)).collect()} == {k: k for k in range(150, 260)}
+    assert {r["record"]: r["key"] for r in library_queries.similar_title(spark, str(tmp_path)).collect()} == {k: k for k in range(150, 260)}
 
 
 def test_vector_table(spark):
@@ -141,7 +141,11 @@ def test_readers(spark, tmp_path):
     got = [(r["section"], r["line_start"], r["line_end"], r["text"]) for r in readers.note_blocks(notes).orderBy("n").collect()]
     assert got == [("Day 1", 5, 5, "text alias hot"), ("Day 1", 8, 10, "```\n# code %% x\n```"), ("Day 1 > Panel", 13, 13, "more")]
     bib = spark.createDataFrame([('@comment{x}\n@article{k1, title = {A {B} c}, year = 2001, title={z}}\n@book{K2, doi = "10.1/x"}',)], "text string")
-    assert [(r["kind"], r["key"], r["fields"]) for r in readers.bib_entries(bib).orderBy("pos").collect()] == [("article", "k1", {"title": "A {B} c", "year": "2001"}), ("book", "K2", {"doi": "10.1/x"})]
+    assert [(r["kind"], r["key"], r["fields"]) for r in readers.bib_fields(bib).orderBy("pos").collect()] == [("article", "k1", {"title": "A {B} c", "year": "2001"}), ("book", "K2", {"doi": "10.1/x"})]
+    more = spark.createDataFrame([('@article{Key,\n title = {{\\\'E}lan   {vital}},\n url = "http://doi.org/10.1000/Ab.", note = "a \\" b", date = {2019-07-01}}\n@book{other, title = "Elan vital", year = {in 1999}}',)], "text string")
+    found = readers.bib_entries(more, spark.createDataFrame([("\\bibitem[x]{KEY}\nText",)], "text string")).orderBy("pos").collect()
+    assert [(r["key"], r["doi"], r["title"], r["year"], r["cited"]) for r in found] == [("Key", "10.1000/ab", "elan vital", 2019, True), ("other", None, "elan vital", 1999, False)]
+    assert readers.bib_fields(more).orderBy("pos").first()["fields"]["note"] == 'a \\" b'
     md = spark.createDataFrame([("# The Title.\n- Year: 2001\n- PMID: N/A\n## Extracted Full Text\n## Page 1\none  two\n## Page 2\n\n",)], "t string")
     row = md.select(readers.metadata(F.col("t")).alias("m"), readers.pages(F.col("t")).alias("p"), readers.page_count(F.col("t")).alias("n")).first()
     assert row["m"] == {"Year": "2001", "Title": "The Title"} and row["p"] == ["one two"] and row["n"] == 2
@@ -152,6 +156,35 @@ def test_readers(spark, tmp_path):
     assert readers.read_texts(spark, str(tmp_path)).first()["text"] == "x"
 
 
+def test_notes_chunk_with_lines(spark):
+    source = "---\nx: 1\n---\n# A\none\n\n" + " ".join(["w"] * 250) + "\n\n" + " ".join(["v"] * 60) + "\n## B\nNotes for x.pdf:\n> show annotation\n%%\n# no\n%%\nlast\n## B\n~~~\n\n# code\n~~~~"
+    notes = spark.createDataFrame([("n", "n.md", source), ("empty", "e.md", None)], "note string, file string, source string")
+    got = chunking.chunk_notes(notes).orderBy("n").collect()
+    assert [(r["chunk_id"], r["section"], r["line_start"], r["line_end"], len(r["text"].split())) for r in got] == [("n#0", "A", 5, 7, 251), ("n#1", "A", 9, 9, 60), ("n#2", "A > B", 16, 16, 1), ("n#3", "A > B", 18, 21, 4)]
+    lines = source.split("\n")
+    for r in got:
+        assert r["hash"] == value(spark, T.fingerprint(F.lit("\n".join(lines[r["line_start"] - 1 : r["line_end"]]))))
+    assert got[3]["text"] == "~~~\n# code\n~~~~"
+
+
+def test_papers_chunk_with_cites(spark):
+    p = lambda text, *cites: (text, list(cites))
+    long = " ".join(["aa"] * 99 + ["aa."]) + " " + " ".join(["B"] * 350)
+    row = ("p", "k", True, "T", 2000, None, "f.md", "Short abstract.", [("One", [p("x", "r1"), p("y", "r2", "r1"), p(" ")]), ("One", [p(long, "r9")])], [("Fig 1", "cap", ["r2"])], {"r1": ("R1",), "r2": ("R2",)})
+    kinds = "sections array<struct<heading:string,paragraphs:array<struct<text:string,cites:array<string>>>>>, captions array<struct<label:string,text:string,cites:array<string>>>, references map<string,struct<text:string>>"
+    papers = spark.createDataFrame([row], f"paper_id string, key string, citable boolean, title string, year int, doi string, source_file string, abstract string, {kinds}")
+    got = chunking.chunk_papers(papers).orderBy("n").collect()
+    assert [(r["chunk_id"], r["section"], r["kind"], [c["text"] for c in r["cites"]]) for r in got] == [("p#0", "Abstract", "abstract", []), ("p#1", "One", "body", ["R1", "R2"]), ("p#2", "One", "body", []), ("p#3", "One", "body", []), ("p#4", "Fig 1", "caption", ["R2"])]
+    assert got[1]["text"] == "x\n\ny" and [len(r["text"].split()) for r in got[2:4]] == [275, 175]
+
+
+def test_titles_fold_and_ranges_are_safe(spark):
+    assert value(spark, T.normalise_title(F.lit("Élan vital: the ﬁrst – part ½"))) == "elan vital the first part 12"
+    assert value(spark, T.is_current(F.lit("x"), F.lit(0), F.lit(1), F.lit("h"))) is False
+    assert value(spark, T.note_line(F.lit("> [!note] ![[a.png]] [[N#h|al]] [[M]] [t](u) ==hi== ^id"))) == "> al M t hi"
+    assert value(spark, T.note_line(F.lit("Notes for a b.pdf:"))) == ""
+
+
 def test_stream_adds_each_text_once(spark, tmp_path):
     schema = "doc_id long, text string, source string"
     for k in range(2):
