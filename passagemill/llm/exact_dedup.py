@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
 from passagemill.llm.skew import BROADCAST_ROWS, HOT_ROWS, join_skewed
+from passagemill.partitions import spread
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 128
@@ -63,7 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
     return exact_dedup(hashed).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

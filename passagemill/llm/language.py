@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: Rows per language that a dictionary is made from at most, smallest hash of id and text first, and bytes of text that they may have together; one row is taken whatever its size. Texts of more bytes than that come last.
@@ -155,7 +156,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit_language_model(docs, ~F.coalesce(held_out(), F.lit(True)))
     found = identify_language(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")

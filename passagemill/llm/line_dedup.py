@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
 from passagemill.llm.skew import join_skewed
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: Bits of each filter at most: 2 MB.
@@ -234,7 +235,7 @@ def _drop_by_join(source: DataFrame, repeated: DataFrame, min_chars: int) -> Dat
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    kept = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = drop_repeated_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.ranks import running_total
 from passagemill.llm.scratch import materialize
 from passagemill.llm.skew import join_skewed
+from passagemill.partitions import spread
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -160,5 +161,5 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total_s
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    mixed = mix_sources(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")

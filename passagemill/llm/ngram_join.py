@@ -30,6 +30,7 @@ from passagemill.llm import kernels as K
 from passagemill.llm.components import connected_components
 from passagemill.llm.scratch import forget, materialize
 from passagemill.llm.skew import join_skewed
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: A shingle is frequent if partitions that hold it in at least this many sets hold it in so many sets together.
@@ -430,7 +431,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 OP6_SQL = r"""

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: Pieces per partition in the first round; bounds the memory of a packing task.
@@ -226,4 +227,4 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, id_co
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

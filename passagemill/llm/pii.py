@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -334,7 +335,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
-    found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find_personal_data(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import kernels as K
 from passagemill.llm.scratch import materialize
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: Common words of a language: its most frequent ones.
@@ -268,5 +269,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    found = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = quality_rules(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "closest_lang", "class_distance", "word_distance")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.ranks import running_total
+from passagemill.partitions import spread
 
 _MULTIPLIER = 2862933555777941757
 _C_HI, _C_LO = _MULTIPLIER >> 32, _MULTIPLIER & 0xFFFFFFFF
@@ -93,4 +94,4 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
 
 
 def op4_shard_documents(spark, sf_dir: str) -> DataFrame:
-    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+    return shard_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), 40)

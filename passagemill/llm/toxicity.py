@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.scratch import materialize
+from passagemill.partitions import spread
 from passagemill.shipping import ship_package
 
 #: Labelled rows that the classifier is fitted on at most, smallest hash of the id first.
@@ -178,6 +179,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit_toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
     return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
