@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
 from passagemill.operators import linkage
-from passagemill.sources import readers
+from passagemill.sources import articles, readers
 
 #: Files with more pages are not sent to the layout parser.
 MAX_PAGES = 100
@@ -115,3 +115,40 @@ def file_papers(rows: DataFrame) -> DataFrame:
     """(source_file, paper): a file's paper; a duplicate without a key has its first copy's."""
     first = rows.select(F.col("source_file").alias("duplicate_of"), F.coalesce("key", "paper_id").alias("_first"))
     return rows.join(first, "duplicate_of", "left").select("source_file", F.coalesce("key", "_first", "paper_id").alias("paper"))
+
+
+def same_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) of file names whose contents are byte for byte equal; files has (name, content)."""
+    hashed = files.select("name", F.length("content").alias("size"), F.sha2("content", 256).alias("hash"))
+    left, right = (hashed.select(F.col("name").alias(n), F.col("size").alias(f"_size_{n}"), F.col("hash").alias(f"_hash_{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter((F.col("_size_a") == F.col("_size_b")) & (F.col("_hash_a") == F.col("_hash_b"))).select("a", "b")
+
+
+def wanted_sources(rows: DataFrame, pages: DataFrame, same_pdf: DataFrame, jats_there: DataFrame) -> DataFrame:
+    """(source_file, jats, tei): which files are to be read as articles.
+
+    rows are marked manifest rows, pages has (source_file, pages), same_pdf
+    (source_file) copies with their first copy's PDF, jats_there (pmcid) what
+    the publisher gives. A copy is read only where it can make a difference:
+    not if the kept copy has an article, nor if the PDFs are equal. The layout
+    parser takes what has a PDF, no article, and not too many pages.
+    """
+    article = F.col("route") == "jats"
+    found = rows.join(jats_there.select("pmcid").distinct().withColumn("_there", F.lit(True)), "pmcid", "left").withColumn("jats", article & F.coalesce("_there", F.lit(False)))
+    first = found.select(F.col("source_file").alias("duplicate_of"), F.col("jats").alias("_first"))
+    found = found.join(first, "duplicate_of", "left").join(same_pdf.select("source_file").distinct().withColumn("_same", F.lit(True)), "source_file", "left").join(pages, "source_file", "left")
+    layout = ~F.col("jats") & F.col("pdf_file").isNotNull() & (F.coalesce("pages", F.lit(0)) <= MAX_PAGES) & ~F.coalesce("_first", F.lit(False)) & F.col("_same").isNull()
+    return found.select("source_file", "jats", layout.alias("tei"))
+
+
+def parse_sources(chosen: DataFrame) -> DataFrame:
+    """Parsed texts of (source_file, source, content, text): articles by their format, Markdown by its pages; an article without any text is read from the Markdown."""
+    read = None
+    for form, source in (("jats", "jats"), ("tei", "grobid")):
+        parsed = articles.parse_articles(chosen.filter(F.col("source") == source), form).withColumn("source", F.lit(source))
+        read = parsed if read is None else read.unionByName(parsed)
+    empty = (F.size("sections") == 0) & (F.coalesce("abstract", F.lit("")) == "")
+    whole = read.filter(~empty)
+    rest = chosen.join(whole.select("source_file"), "source_file", "left_anti").select("source_file", "text")
+    return whole.unionByName(readers.parse_markdown(rest).withColumn("source", F.lit("markdown")))

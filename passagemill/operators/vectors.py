@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.shipping import ship_package
+from passagemill.sources.stores import StampedTable, halved
 
 
 class StaleIndex(RuntimeError):
@@ -43,6 +46,52 @@ def hashing_encoder(dimensions: int = 64):
     return encode
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """How texts become vectors. Questions and passages may be encoded in different ways.
+
+    ``question`` and ``passage`` take (headers, texts); a question has an empty
+    header and is put behind ``instruction``. Neural models plug in here.
+    """
+
+    name: str
+    passage: Callable[[list[str], list[str]], np.ndarray]
+    question: Callable[[list[str], list[str]], np.ndarray]
+    instruction: str = ""
+
+    @property
+    def settings(self) -> str:
+        """What a stored vector depends on besides its text."""
+        return f"{self.name}|{self.instruction}"
+
+    def ask(self, text: str) -> list[float]:
+        return [float(x) for x in self.question([""], [self.instruction + text])[0]]
+
+
+def unnormalised(encode: Callable[[list[str], list[str]], np.ndarray], header_weight: float) -> Callable[[list[str], list[str]], np.ndarray]:
+    """Header and text encoded apart and added with a weight, not brought to unit length."""
+
+    def encode_pair(headers: list[str], texts: list[str]) -> np.ndarray:
+        none = [""] * len(texts)
+        return encode(none, texts) + header_weight * encode(none, headers)
+
+    return encode_pair
+
+
+#: Makers of encoders by name; each process makes one once.
+ENCODERS: dict[str, Callable[[], Encoder]] = {
+    "hashing": lambda: Encoder("hashing", hashing_encoder(), hashing_encoder(), "query: "),
+    "hashing-pair": lambda: Encoder("hashing-pair", unnormalised(hashing_encoder(), 0.5), hashing_encoder()),
+}
+
+
+@cache
+def load_encoder(name: str) -> Encoder:
+    if name not in ENCODERS:
+        raise ValueError(f"unknown encoder {name}; choose from {', '.join(ENCODERS)}")
+    return ENCODERS[name]()
+
+
 def encode_missing(chunks: DataFrame, store: DataFrame, encoder=None) -> DataFrame:
     """(text_hash, vector) of the texts to add to the store."""
     encoder = encoder or hashing_encoder()
@@ -73,3 +122,16 @@ def reuse_counts(chunks: DataFrame, store: DataFrame) -> DataFrame:
     """(embedded, reused): distinct texts that an update would encode and keep."""
     texts = chunks.select("text_hash").distinct().join(store.select("text_hash", F.lit(1).alias("_there")).distinct(), "text_hash", "left")
     return texts.agg(F.count_if(F.col("_there").isNull()).alias("embedded"), F.count("_there").alias("reused"))
+
+
+def update(chunks: DataFrame, store: StampedTable, encoder: Encoder) -> tuple[int, int]:
+    """(reused, embedded) distinct texts: bring a collection's vectors up to date; vectors of texts that no chunk has go.
+
+    Texts are encoded longest first within each task, so that one that is too
+    long fails early.
+    """
+    there = store.read()
+    counts = reuse_counts(chunks, there).first()
+    ordered = chunks.repartition(F.col("text_hash")).sortWithinPartitions(F.desc(F.length("text")))
+    store.replace(halved(refreshed_store(ordered, there, encoder.passage)))
+    return counts["reused"], counts["embedded"]

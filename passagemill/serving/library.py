@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
@@ -32,6 +33,7 @@ class Collection:
     chunks: DataFrame
     vectors: dict[str, tuple[DataFrame, Callable[[str], list[float]]]] = field(default_factory=dict)
     scorer: Callable = ranking.lexical_scorer
+    index: lexical.Index | None = None
 
     @property
     def methods(self) -> tuple[str, ...]:
@@ -50,7 +52,8 @@ def search_batch(collection: Collection, questions: DataFrame, methods: Sequence
     found = {}
     for method in methods:
         if method == "bm25":
-            found[method] = lexical.bm25(collection.chunks, questions).select("query_id", "pos", "score", "rank")
+            by_words = lexical.bm25_stored(collection.index, questions) if collection.index else lexical.bm25(collection.chunks, questions)
+            found[method] = by_words.select("query_id", "pos", "score", "rank")
         else:
             vectors, encode = collection.vectors[method]
             asked = [(q.query_id, [float(x) for x in encode(q.text)]) for q in questions.select("query_id", "text").toLocalIterator()]
@@ -99,6 +102,66 @@ def with_current(hits: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("current", T.is_current(text, F.col("line_start"), F.col("line_end"), F.col("hash"))).drop("_source", "hash")
 
 
+#: What a passage of each collection shows, in this order.
+SHOWN = {
+    "library": ("chunk_id", "key", "title", "year", "doi", "source_file", "section", "text", "cites", "citable"),
+    "thesis": ("chunk_id", "file", "line_start", "line_end", "section", "kind", "text", "keys"),
+    "notes": ("chunk_id", "note", "file", "line_start", "line_end", "section", "text"),
+}
+
+
+def shaped(hits: DataFrame, kind: str, sources: DataFrame | None = None) -> DataFrame:
+    """Hits with the columns that a collection of ``kind`` shows, whether their lines still hold (given ``sources``), and their score if they have one."""
+    rows = with_current(hits, sources) if sources is not None else hits
+    more = [c for c in ("current", "score", "rank") if c in rows.columns]
+    return rows.select(*(c for c in SHOWN[kind] if c in rows.columns), *more)
+
+
+def sources_of(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    """(file, source): the present text of the files behind hits; one that is gone has none. Hits are few, so their files are named."""
+    names = [r["file"] for r in hits.select("file").distinct().limit(MAX_HITS + 1).collect()]
+    there = [n for n in names if _exists(spark, f"{folder}/{n}")]
+    if not there:
+        return spark.createDataFrame([], "file string, source string")
+    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in there])
+    ends = F.substring_index("path", "/", -1) if all("/" not in n for n in there) else F.element_at(F.filter(F.array(*map(F.lit, there)), lambda n: F.endswith(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.concat(F.lit("/"), n))), 1)
+    return files.select(ends.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def search_library(collection: Collection, question: str, k: int = 8, citable_only: bool = True) -> DataFrame:
+    """Passages of papers; those that may not be cited are left out after ranking."""
+    return shaped(search(collection, question, k, citable_only=citable_only), "library")
+
+
+def search_lines(collection: Collection, kind: str, text: str, folder: str, k: int = 8) -> DataFrame:
+    """Passages of a book ("thesis") or of notes ("notes"), with whether their lines still hold them."""
+    hits = search(collection, text, k)
+    return shaped(hits, kind, sources_of(collection.chunks.sparkSession, folder, hits))
+
+
+class Shelf:
+    """Collections that are loaded once, and again when their stored tables have been replaced.
+
+    ``load`` makes a collection, ``version`` tells which version is stored.
+    One thread at a time loads; all see whole collections.
+    """
+
+    def __init__(self, load: Callable[[str], Collection], version: Callable[[str], str | None]):
+        self._load, self._version, self._held, self._lock = load, version, {}, threading.Lock()
+
+    def get(self, name: str) -> Collection:
+        with self._lock:
+            now = self._version(name)
+            if name not in self._held or self._held[name][0] != now:
+                self._held[name] = (now, self._load(name))
+            return self._held[name][1]
+
+
 @dataclass
 class Answer:
     question: str

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 from datetime import datetime
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,23 @@ def label(row) -> str:
     return name if shown.get("citable", True) else f"{name}, not citable"
 
 
-def render(collection: Collection, answers: list[Answer]) -> str:
+def file_links(shown: dict, folder: str | None = None, vault: str | None = None) -> list[tuple[str, str]]:
+    """(name, address) of a passage's DOI and of the files that it is from, as far as they are known."""
+    links = []
+    if folder and (source := shown.get("source_file")):
+        base = Path(folder) / "data" / "manuscripts"
+        links += [("PDF", (base / source).with_suffix(".pdf").as_uri()), ("Markdown", (base / source).as_uri())]
+    if folder and shown.get("file"):
+        name = "Markdown" if shown.get("note") else "LaTeX"
+        links.append((name, (Path(folder) / shown["file"]).as_uri() + (f"#L{shown['line_start']}" if shown.get("line_start") else "")))
+    if vault and shown.get("note"):
+        links.append(("Obsidian", f"obsidian://open?vault={quote(vault, safe='')}&file={quote(str(shown['note']), safe='')}"))
+    if shown.get("doi"):
+        links.append(("DOI", f"https://doi.org/{shown['doi']}"))
+    return links
+
+
+def render(collection: Collection, answers: list[Answer], folder: str | None = None, vault: str | None = None) -> str:
     """The page; only the documents of hits are read, and terms are marked by Spark."""
     documents = list(dict.fromkeys(hit["document"] for a in answers for hit in a.hits))
     terms = sorted({t for a in answers for t in a.terms})
@@ -38,8 +55,7 @@ def render(collection: Collection, answers: list[Answer]) -> str:
         for hit in a.hits:
             found.setdefault(hit["chunk_id"], []).append(f"q{n} #{hit['rank']}")
             places = ", ".join(f"{m} {p}" for m, p in sorted(hit["ranks"].items()))
-            doi = hit.asDict().get("doi")
-            link = f' · <a href="https://doi.org/{html.escape(doi)}">DOI</a>' if doi else ""
+            link = "".join(f' · <a href="{html.escape(address)}">{name}</a>' for name, address in file_links(hit.asDict(), folder, vault))
             out.append(
                 f'<article><b>{hit["rank"]}</b> {hit["score"]:.3f} <b>{html.escape(label(hit))}</b> {html.escape(hit["section"] or "")}'
                 f'<div class="quiet">{html.escape(places)} · <a href="#{html.escape(hit["chunk_id"])}">in context</a>{link}</div><p>{marked[hit["chunk_id"]]}</p></article>'
@@ -76,3 +92,8 @@ def results_table(rows: list, numbers: dict[str, float] | None = None) -> str:
         share = [] if numbers is None else [f"{numbers[config]:.2f}" if numbers.get(config) is not None else "–"]
         lines.append("| " + " | ".join([config, *(cells.get((config, m), "–") for m in metrics), *share]) + " |")
     return "\n".join(lines)
+
+
+def signed(mean: float, low: float, high: float) -> str:
+    """A difference with its interval."""
+    return f"{mean:+.2f} ({low:+.2f} to {high:+.2f})"
