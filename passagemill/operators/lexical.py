@@ -33,10 +33,16 @@ def _weighted(df: DataFrame, totals: DataFrame) -> DataFrame:
 
 def term_statistics(tokens: DataFrame) -> DataFrame:
     """(term, df, idf) of all terms of (pos, tokens)."""
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = exploded(tokens, distinct=True).groupBy("term").agg(F.count("*").alias("df"))
     return _weighted(df, tokens.agg(F.count("*").alias("n")))
 
 
+def exploded(tokens: DataFrame, *more, distinct: bool = False) -> DataFrame:
+    """A row (term, more) for each token. The outer form keeps the optimizer from asking for the array's size, that is, from tokenising every text twice."""
+    terms = F.array_distinct("tokens") if distinct else F.col("tokens")
+    return tokens.select(*more, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+
+
 def top_n(scored: DataFrame, n: int, query: str = "query_id") -> DataFrame:
     """Best ``n`` rows per query by score, ties by pos; planned as a group limit before the shuffle."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), "pos")
@@ -53,7 +59,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFram
     lengths = tokens.agg(F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("term")).join(term_statistics(tokens), "term")
     # Words that no query asks for are dropped before anything is grouped; the token array does not travel with them.
-    words = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    words = exploded(tokens, "pos", F.size("tokens").alias("dl"))
     counted = words.join(asked.select("term").distinct(), "term").groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = counted.crossJoin(F.broadcast(lengths)).join(asked, "term").groupBy("query_id", "pos").agg(F.round(F.sum(weight), 6).alias("score"))
@@ -72,7 +78,7 @@ class Index:
 def build_index(chunks: DataFrame) -> Index:
     """The index of (pos, index_text), from one tokenisation; write it with ``write_index`` before searching."""
     tokens = tokenized(chunks)
-    postings = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings = exploded(tokens, "pos", F.size("tokens").alias("dl")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     return Index(postings.select("term", "pos", "tf", "dl"), _weighted(postings.groupBy("term").agg(F.count("*").alias("df")), totals), totals)
 

@@ -134,7 +134,7 @@ def word_count(spark, sf_dir):
 @query(f"WITH {_TERMS} SELECT term, sum(tf)::BIGINT AS tf, count(*) AS df FROM post GROUP BY term")
 def tokenize_tf_df(spark, sf_dir):
     tokens = lexical.tokenized(chunk_table(spark, sf_dir))
-    counts = tokens.select("pos", F.explode("tokens").alias("term")).groupBy("term", "pos").agg(F.count("*").alias("tf"))
+    counts = lexical.exploded(tokens, "pos").groupBy("term", "pos").agg(F.count("*").alias("tf"))
     return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -292,12 +292,12 @@ def whole_document(spark, sf_dir):
 def _answers(spark, sf_dir):
     """(query_id, pos) of documents that hold a benchmark item verbatim: they share its rarest token."""
     chunks = lexical.tokenized(chunk_table(spark, sf_dir))
-    df = chunks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = lexical.exploded(chunks, distinct=True).groupBy("term").agg(F.count("*").alias("df"))
     # First and last token of an item may be parts of words in a document; inner tokens are whole.
     asked = query_table(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("text")))
     inner = asked.select("query_id", "text", F.explode(F.slice("tokens", 2, F.greatest(F.size("tokens") - 2, F.lit(1)))).alias("term")).join(df, "term")
     rarest = inner.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.first("text").alias("item"))
-    candidates = chunks.select("pos", F.explode(F.array_distinct("tokens")).alias("term")).join(rarest, "term").select("pos", "query_id", "item")
+    candidates = lexical.exploded(chunks, "pos", distinct=True).join(rarest, "term").select("pos", "query_id", "item")
     texts = chunk_table(spark, sf_dir).select("pos", "text")
     return texts.join(candidates, "pos").filter(F.col("text").contains(F.col("item"))).select("query_id", "pos")
 
