@@ -312,8 +312,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end lists).
 
     Positions are code points, ends exclusive. Null text is empty; texts of any
-    length are read whole; repeated rows are rows like any others; other
-    columns are ignored.
+    length are read whole; repeated rows are rows like any others; of
+    segmentations with equal scores the one with shorter and earlier segments
+    wins; an empty table gives an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

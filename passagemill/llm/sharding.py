@@ -76,7 +76,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Key law: the hash of the id and the shard count decide, so repeated ids
-    share a shard. Null text has size 16 and the CRC of an empty text; a null
+    share a shard. Texts of any length count whole. Null text has size 16 and the CRC of an empty text; a null
     id hashes like any other value; an empty table gives an empty result. Other
     columns of ``docs`` are ignored. Slots number each shard's rows 0, 1, 2 ...
     in an order that depends on the rows alone.
