@@ -130,11 +130,11 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, learnable: Column, id
     ship_package(docs.sparkSession)
     known = labels.filter(learnable & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(training_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", F.coalesce("text", F.lit("")).alias("text"), "label").withColumn("_text", F.xxhash64("text"))
-    # Repeated ids may give more rows than labels: the bound holds for rows.
-    rows = rows.dropDuplicates(["_id", "_text"]).orderBy(F.xxhash64("_id"), "_id", "_text").limit(training_rows)
-    rows = materialize(rows.select("_id", "text", "label").repartition(_TASKS, "_id"), "toxicity-training")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_text", F.xxhash64("text"))
+    # Repeated ids may give more rows than labels: the bound holds for rows, which are chosen without their texts.
+    keys = texts.join(F.broadcast(chosen), "_id").select("_id", "_text", "label").distinct().orderBy(F.xxhash64("_id"), "_id", "_text").limit(training_rows)
+    rows = texts.join(F.broadcast(keys), ["_id", "_text"]).repartition(_TASKS, "_id").dropDuplicates(["_id", "_text"])
+    rows = materialize(rows.select("_id", "text", "label"), "toxicity-training")
     pos, neg, toxic, other = _class_counts(rows.coalesce(_TASKS))
     place = np.full(1 << HASH_BITS, -1, dtype=np.int16)
     if not toxic or not other:
