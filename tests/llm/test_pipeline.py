@@ -1,12 +1,19 @@
 """The pipeline stages: columns, decisions, and what each keeps."""
 
 import random
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
+from test_operators import brute_join
+
 import corpus_pipeline
+from passagemill.llm import language, mixing
 from passagemill.llm.queries import ORACLE_SQL, QUERIES
 
 SYLLABLES = {"en": ["the", "ing", "tion", "and"], "fr": ["eau", "eux", "ment", "que"]}
@@ -65,6 +72,38 @@ def test_stages_on_awkward_tables(spark, folder, tmp_path):
     assert ids <= {*range(60), 500}
 
 
+def test_run_by_brute_force(spark, folder):
+    """The whole pipeline on plain Python rows, stage by stage, against run()."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    learned = language.fit_language_model(docs, ~language.held_out())
+    named = [r for r in rows if (found := learned.predict(r[1]))[0] != "und" and found[2] >= learned.min_margin]
+    same = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    single = [r for r in named if r[0] == min(x[0] for x in named if same(x[1]) == same(r[1]))]
+    parts = {(d, n, least) for d, n, least, _ in brute_join(single, 5, 80)}
+    apart = [r for r in single if any(d == r[0] == least for d, _, least in parts)]
+    # The plan decides how often a document is taken; its own test compares it with the integral.
+    plan = mixing.mix_sources(spark.createDataFrame(apart, docs.schema)).collect()
+    taken = Counter({r["doc_id"]: sum(2 * p["words"] >= r["size"] for p in r["passes"]) for r in plan})
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = Counter()
+    for r in apart:
+        ids = [*tokenizer.encode(r[1], add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            wanted[r[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())] += taken[r[0]]
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == +wanted
+    used = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used[r["sequence_id"]]
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 1024 and len(used) == got[0]["sequences"] >= got[0]["bound"] >= -(-sum(used.values()) // 1024)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
