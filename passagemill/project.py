@@ -15,6 +15,8 @@ VARIABLE = "PASSAGEMILL_PROJECT"
 class Project:
     """Paths of a project; collections exist as far as their sources do."""
 
+    # The names that a project's files have.
+
     folder: Path
     store: Path
 
