@@ -12,6 +12,7 @@ from passagemill import project as projects
 from passagemill.functions import text as T
 from passagemill.operators import chunking, ingestion, lexical, linkage, vectors
 from passagemill.serving import checks, library
+from passagemill.serving.gather import Connectors, gather
 from passagemill.sources import articles, latex, readers, stores
 from passagemill.sources.stores import StampedTable
 
@@ -42,11 +43,12 @@ def _conformed(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
 
 
-def ingest(spark: SparkSession, at: projects.Project, parsed: DataFrame | None = None) -> dict[str, int]:
+def ingest(spark: SparkSession, at: projects.Project, parsed: DataFrame | None = None, connectors: Connectors | None = None) -> dict[str, int]:
     """Read the project's papers into the manifest and the paper table; counts of papers, new files, copies and removed papers.
 
-    ``parsed`` has (source_file, source, content) of articles that connectors
-    fetched; all other papers are read from their Markdown.
+    ``parsed`` has (source_file, source, content) of articles at hand; else
+    ``connectors``, if given, are asked for them. All other papers are read
+    from their Markdown.
     """
     at.required()
     files = readers.read_texts(spark, str(at.papers))
@@ -60,6 +62,8 @@ def ingest(spark: SparkSession, at: projects.Project, parsed: DataFrame | None =
     rows = _conformed(ingestion.marked(ingestion.manifest(files, pdfs, entries, readers.read_overrides(spark, str(at.overrides)), [])), MANIFEST)
     table.replace(rows)
     rows = table.read()
+    if parsed is None and connectors is not None:
+        parsed = gather(spark, at, rows, files, connectors)
     fetched = parsed if parsed is not None else spark.createDataFrame([], "source_file string, source string, content binary")
     chosen = files.join(fetched, "source_file", "left").withColumn("source", F.coalesce("source", F.lit("markdown")))
     every = ingestion.papers(rows, ingestion.parse_sources(chosen), entries, [])
@@ -181,6 +185,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("steps", nargs="*", choices=(*STEPS, []), default=[])
     parser.add_argument("--project", help="the project's folder")
+    parser.add_argument("--fetch", action="store_true", help="ask the publisher and the layout parser for articles")
     options = parser.parse_args(arguments)
     at = projects.find(None if options.project is None else {projects.VARIABLE: options.project}).required()
     spark = spark or SparkSession.builder.appName("passagemill").getOrCreate()
@@ -191,7 +196,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             if not ready:
                 raise SystemExit(1)
         else:
-            print(step, {"ingest": ingest, "chunk": chunk, "index": index}[step](spark, at))
+            more = {"connectors": Connectors()} if step == "ingest" and options.fetch else {}
+            print(step, {"ingest": ingest, "chunk": chunk, "index": index}[step](spark, at, **more))
 
 
 if __name__ == "__main__":

@@ -1,13 +1,16 @@
-"""Connectors against a server on this machine."""
+"""Connectors against a server on this machine, adding papers."""
 
 import sys
 import threading
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import pytest
 
-from passagemill.sources import remote
+from passagemill import project as projects
+from passagemill.serving import add, build, gather
+from passagemill.sources import remote, stores
 
 JATS = "<article><front><article-meta><title-group><article-title>Owls of the north</article-title></title-group></article-meta></front><body><sec><title>Results</title><p>Owls hunt voles at night in the forest.</p></sec></body></article>"
 TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Moss</title></titleStmt></fileDesc></teiHeader><text><body><div><head>Results</head><p>Moss holds water in peat.</p></div></body></text></TEI>'
@@ -79,3 +82,23 @@ def test_a_search_program_as_a_baseline(spark, tmp_path):
     found = remote.fetch(spark.createDataFrame([("a", None), ("no", None)], "id string, content binary"), remote.outcomes(spark, str(tmp_path / "c")), program)
     assert sorted(map(tuple, remote.ranked_lines(found).collect())) == [("a", "a", 1), ("a", "b", 2)]
     assert found.filter("id = 'no'").first().error.startswith("CalledProcessError")
+
+
+def test_papers_are_added_from_articles(spark, service, tmp_path, capsys):
+    address, asked, _ = service
+    papers = tmp_path / "p" / "data" / "manuscripts"
+    papers.mkdir(parents=True)
+    (papers / "Ash 2001 - Owls.md").write_text("# Owls\n- PMCID: PMC1\n## Extracted Full Text\n## Page 1\nPlain.\n")
+    at = projects.find({projects.VARIABLE: str(tmp_path / "p")})
+    with pytest.raises(FileNotFoundError):
+        add.resolved("none.pdf", at, tmp_path)
+    (tmp_path / "here.txt").write_text("x")
+    assert add.resolved("here.txt", at, tmp_path) == str((tmp_path / "here.txt").resolve()) and add.resolved("10.1/x", at, tmp_path) == "10.1/x"
+    asking = gather.Connectors(remote.Publisher(address), remote.LayoutParser(address, wait=0))
+    build.ingest(spark, at, connectors=asking)
+    script = "import sys, pathlib; d = pathlib.Path('data/manuscripts'); (d / 'Elm 2002 - Moss.md').write_text('# Moss\\n## Extracted Full Text\\n## Page 1\\nPlain.\\n'); (d / 'Elm 2002 - Moss.pdf').write_bytes(b'%PDF'); sys.exit(3)"
+    status, told = add.add(spark, at, [sys.executable, "-c", script], ["x"], Path.cwd(), asking)
+    assert status == 3 and len(told) == 1 and "(grobid, key none): Moss" in told[0]
+    rows = {r.source_file: r for r in stores.read_papers(build.paper_table(spark, at)).collect()}
+    assert rows["Ash 2001 - Owls.md"].source == "jats" and rows["Ash 2001 - Owls.md"].title == "Owls of the north"
+    assert rows["Elm 2002 - Moss.md"].sections[0]["paragraphs"][0]["text"].startswith("Moss holds water")
