@@ -1,5 +1,7 @@
-"""Connectors against a server on this machine, adding papers."""
+"""Connectors against a server on this machine, adding papers, and the tools of a built project."""
 
+import io
+import json
 import sys
 import threading
 from collections import Counter
@@ -9,7 +11,7 @@ from pathlib import Path
 import pytest
 
 from passagemill import project as projects
-from passagemill.serving import add, build, gather
+from passagemill.serving import add, build, gather, tools
 from passagemill.sources import remote, stores
 
 JATS = "<article><front><article-meta><title-group><article-title>Owls of the north</article-title></title-group></article-meta></front><body><sec><title>Results</title><p>Owls hunt voles at night in the forest.</p></sec></body></article>"
@@ -84,7 +86,7 @@ def test_a_search_program_as_a_baseline(spark, tmp_path):
     assert found.filter("id = 'no'").first().error.startswith("CalledProcessError")
 
 
-def test_papers_are_added_from_articles(spark, service, tmp_path, capsys):
+def test_papers_are_added_from_articles_and_served(spark, service, tmp_path, capsys):
     address, asked, _ = service
     papers = tmp_path / "p" / "data" / "manuscripts"
     papers.mkdir(parents=True)
@@ -102,3 +104,18 @@ def test_papers_are_added_from_articles(spark, service, tmp_path, capsys):
     rows = {r.source_file: r for r in stores.read_papers(build.paper_table(spark, at)).collect()}
     assert rows["Ash 2001 - Owls.md"].source == "jats" and rows["Ash 2001 - Owls.md"].title == "Owls of the north"
     assert rows["Elm 2002 - Moss.md"].sections[0]["paragraphs"][0]["text"].startswith("Moss holds water")
+
+    server, out = tools.Server(at, build.shelf(spark, at)), io.StringIO()
+    call = lambda number, tool, **given: json.dumps({"jsonrpc": "2.0", "id": number, "method": "tools/call", "params": {"name": tool, "arguments": given}})
+    lines = [json.dumps({"jsonrpc": "2.0", "id": 0, "method": "initialize"}), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/list"})]
+    lines += [call(2, "search_library", question="owls hunting voles", citable_only=False), call(3, "search_library", question="x", k=21), call(4, "search_notes", text="x"), call(5, "get_context", chunk_id="none"), "{", json.dumps({"id": 6, "method": "no"})]
+    server.serve(lines, out)
+    replies = [json.loads(line) for line in out.getvalue().splitlines()]
+    by_id = {r["id"]: r for r in replies}
+    assert len(replies) == 8 and by_id[0]["result"]["serverInfo"]["name"] == "passagemill"
+    assert [t["name"] for t in by_id[1]["result"]["tools"]] == ["search_library", "get_context"]
+    hit = json.loads(by_id[2]["result"]["content"][0]["text"])
+    assert hit["source_file"] == "Ash 2001 - Owls.md" and by_id[3]["error"]["code"] == by_id[4]["error"]["code"] == -32602
+    assert by_id[5]["result"]["isError"] and by_id[None]["error"]["code"] == -32700 and by_id[6]["error"]["code"] == -32601
+    near = server.call("get_context", {"chunk_id": hit["chunk_id"], "window": 0})
+    assert [r["chunk_id"] for r in near] == [hit["chunk_id"]] and "score" not in near[0]
