@@ -86,6 +86,11 @@ def joined(group: Column) -> Column:
     return F.array_join(F.transform(group, lambda x: x["text"]), "\n\n")
 
 
+def merged_cites(group: Column) -> Column:
+    """The cites of all parts of a passage, each once, in order of appearance."""
+    return F.array_distinct(F.flatten(F.transform(group, lambda x: x["cites"])))
+
+
 def merge_paragraphs(documents: DataFrame) -> DataFrame:
     """(doc, n, text, words) passages from (doc, paragraphs): cut, gathered within the document, joined by a blank line."""
     parts = documents.select("doc", F.posexplode("paragraphs").alias("p", "text"))
@@ -106,7 +111,7 @@ def chunk_papers(papers: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     body = papers.select("paper_id", F.posexplode("sections").alias("block", "s")).select("paper_id", "block", F.col("s.heading").alias("section"), F.posexplode("s.paragraphs").alias("p", "x"))
     merged = merge_parts(body.select("paper_id", "block", "section", "p", "x.text", "x.cites"), ["paper_id", "block", "section"], ["cites"])
-    passages = merged.select("paper_id", F.lit(1).alias("part"), "block", F.col("run").alias("m"), "section", F.lit("body").alias("kind"), joined(F.col("group")).alias("text"), F.array_distinct(F.flatten(F.transform("group", lambda x: x["cites"]))).alias("ids"))
+    passages = merged.select("paper_id", F.lit(1).alias("part"), "block", F.col("run").alias("m"), "section", F.lit("body").alias("kind"), joined(F.col("group")).alias("text"), merged_cites(F.col("group")).alias("ids"))
 
     def alone(rows: DataFrame, part: int, kind: str) -> DataFrame:
         cut = rows.select("paper_id", "block", "section", "ids", F.posexplode(pieces(F.col("text"))).alias("m", "text"))

@@ -78,6 +78,31 @@ def chunk_documents(spark, sf_dir):
     return chunking.merge_paragraphs(Q._paragraphs(spark, sf_dir)).select("doc", "n", "words", F.md5("text").alias("text_md5"))
 
 
+@query("WITH RECURSIVE " + pieces_sql(f"SELECT doc_id * 100000 + no AS id, line AS text FROM ({_LINES})", "pc") + " SELECT id // 100000 AS doc_id, (id % 100000 - 1)::BIGINT AS p, q::BIGINT AS q, md5(text) AS piece_md5 FROM pc")
+def pieces(spark, sf_dir):
+    """Each line of a document as a passage: none if blank, itself, or its pieces."""
+    lines = Q._paragraphs(spark, sf_dir).select("doc", F.posexplode("paragraphs").alias("p", "line"))
+    cut = lines.select("doc", "p", F.posexplode(chunking.pieces(F.col("line"))).alias("q", "piece"))
+    return cut.select(F.col("doc").alias("doc_id"), F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), F.md5("piece").alias("piece_md5"))
+
+
+@query(
+    f"WITH RECURSIVE ln AS ({_LINES}), "
+    + pieces_sql("SELECT doc_id * 100000 + no AS id, line AS text FROM ln", "pc")
+    + ", "
+    + runs_sql("SELECT id // 100000 AS doc, row_number() OVER (PARTITION BY id // 100000 ORDER BY id, q) AS i, 'r' || size % 5 AS cite, text FROM (SELECT l.doc_id * 100000 + l.no AS id, q, length(l.line) AS size, pc.text FROM pc JOIN ln l ON pc.id = l.doc_id * 100000 + l.no)", "rn")
+    + """, firsts AS (SELECT doc, run, cite, min(i) AS i FROM rn GROUP BY ALL)
+SELECT doc, run::BIGINT AS run, count(*) AS parts, md5(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS text_md5,
+  (SELECT string_agg(cite, ',' ORDER BY f.i) FROM firsts f WHERE f.doc = rn.doc AND f.run = rn.run) AS cites FROM rn GROUP BY doc, run"""
+)
+def join_run(spark, sf_dir):
+    """Lines gathered to passages: texts joined, cites once each in order of appearance. A line cites by its length."""
+    lines = Q._paragraphs(spark, sf_dir).select("doc", F.posexplode("paragraphs").alias("p", "text"))
+    cited = lines.withColumn("cites", F.array(F.concat(F.lit("r"), (F.length("text") % 5).cast("string"))))
+    merged = chunking.merge_parts(cited, ["doc"], ["cites"])
+    return merged.select("doc", F.col("run").cast("long").alias("run"), F.size("group").cast("long").alias("parts"), F.md5(chunking.joined(F.col("group"))).alias("text_md5"), F.array_join(chunking.merged_cites(F.col("group")), ",").alias("cites"))
+
+
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers: the first line is the abstract, the others are paragraphs of two sections, each citing one of three ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))

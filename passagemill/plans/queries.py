@@ -336,6 +336,16 @@ def eval_summary(spark, sf_dir):
     return evaluation.summary(values, ["metric"])
 
 
+@query(f"""WITH {_PLACES}, {_METRICS}, v AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM mv),
+d AS (SELECT r, k, ('0x' || substr(md5(r || '-' || k), 1, 8))::BIGINT AS h FROM range(1000) t(r), range((SELECT count(*) FROM benchmark)) s(k))
+SELECT metric, r::BIGINT AS resample, round(avg(value), 9) AS mean FROM d JOIN v ON v.i = d.h % v.n GROUP BY metric, r""")
+def bootstrap_ci(spark, sf_dir):
+    """The mean of every resample behind the intervals."""
+    values = evaluation.numbered(evaluation.metric_values(_places(spark, sf_dir)), ["metric"])
+    means = evaluation.resample_means(values.select("metric", "i", "value"), ["metric"])
+    return means.select("metric", "resample", F.round("mean", 9).alias("mean"))
+
+
 # ---- linkage, keepers, vectors ----------------------------------------------------------------------------------
 
 
