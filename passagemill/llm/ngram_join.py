@@ -45,7 +45,7 @@ ROUNDS, TOO_MANY = 3, 0.01
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
 #: Shingles of a partition that are counted together.
 COUNTED_TOGETHER = 2_000_000
-#: Node ids that may be broadcast to pick the texts of candidates; beyond, that join shuffles.
+#: Places of nodes in blocks, about 100 bytes each, that may be broadcast to pick the texts of candidates; beyond, that join shuffles.
 BROADCAST_ROWS = 300_000
 _TILE = 4096
 
@@ -321,7 +321,7 @@ def _multiply_blocks(blocks: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _tasks(members: DataFrame, possible: DataFrame, columns: DataFrame, percent: int, block_nodes: int) -> DataFrame:
-    """(cluster, i, j, s, node, copies, whole): each node once for every block pair that it takes part in.
+    """(cluster, i, j, s, node, least, copies, whole): each node once for every block pair that it takes part in.
 
     A cluster that fits is one block. Nodes of a larger one are laid out by
     size, and a pair of its blocks is multiplied only if it holds a surviving
@@ -332,7 +332,7 @@ def _tasks(members: DataFrame, possible: DataFrame, columns: DataFrame, percent:
     sizes = materialize(members.groupBy("cluster").agg(F.sum(weight).alias("blocks")).filter("blocks > 2"), "join-large")
     small = join_skewed(members, sizes, "cluster", "left_anti")
     zero = F.lit(0).cast("int")
-    tasks = small.select("cluster", zero.alias("i"), zero.alias("j"), zero.alias("s"), "node", "copies", F.lit(True).alias("whole"))
+    tasks = small.select("cluster", zero.alias("i"), zero.alias("j"), zero.alias("s"), "node", "least", "copies", F.lit(True).alias("whole"))
     if sizes.isEmpty():
         return tasks
     large = materialize(join_skewed(members, sizes.select("cluster"), "cluster", "left_semi"), "join-large-members")
@@ -340,7 +340,7 @@ def _tasks(members: DataFrame, possible: DataFrame, columns: DataFrame, percent:
     earlier = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(by_size.withColumn("_start", F.coalesce(F.sum("_share").over(earlier), F.lit(0.0))), "join-starts")
     place = F.floor(F.col("_start") + F.col("_share") * F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    placed = materialize(join_skewed(large, starts, ["cluster", "n"]).select("cluster", "node", "copies", "n", place.cast("int").alias("s")), "join-placed")
+    placed = materialize(join_skewed(large, starts, ["cluster", "n"]).select("cluster", "node", "least", "copies", "n", place.cast("int").alias("s")), "join-placed")
     spot = placed.select("node", "cluster", "s")
     first = join_skewed(possible, spot.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
     met = materialize(first, "join-met")
@@ -354,7 +354,7 @@ def _tasks(members: DataFrame, possible: DataFrame, columns: DataFrame, percent:
     fitting = crossed.join(lower, ["cluster", "i"]).join(upper, ["cluster", "j"]).filter(100 * F.col("high") >= percent * F.col("low")).select("cluster", "i", "j")
     needed = materialize(direct.unionByName(fitting).distinct(), "join-block-pairs")
     sides = needed.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("s"))
-    return tasks.unionByName(placed.join(sides, ["cluster", "s"]).select("cluster", "i", "j", "s", "node", "copies", F.lit(False).alias("whole")))
+    return tasks.unionByName(placed.join(sides, ["cluster", "s"]).select("cluster", "i", "j", "s", "node", "least", "copies", F.lit(False).alias("whole")))
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", long_column: int = LONG_COLUMN, block_nodes: int = BLOCK_NODES, frequent: int = FREQUENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -404,12 +404,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     # The classes: smallest id and number of rows of each node.
     classes = materialize(slim.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n")), "join-classes")
     members = materialize(clusters.select("node", F.col("root").alias("cluster")).join(classes, "node"), "join-members")
-    tasks = _tasks(members, possible, chained.select("gram", F.col("b").alias("node")), percent, block_nodes)
-    chosen = members.select(F.col("least").alias("_least"), "node")
-    if members.count() <= broadcast_rows:
-        chosen = F.broadcast(chosen)
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_least"])).select("node", "text")
-    blocks = tasks.join(texts, "node").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    # The tasks are settled without texts, so that texts move once to their blocks, and once more only if the tasks are too many to broadcast.
+    tasks = materialize(_tasks(members, possible, chained.select("gram", F.col("b").alias("node")), percent, block_nodes), "join-tasks")
+    wanted = F.broadcast(tasks) if tasks.count() <= broadcast_rows else tasks
+    placed = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("cluster", "i", "j", "s", "node", "copies", "text", "whole")
+    blocks = placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     linked = materialize(_multiply_blocks(blocks, words, percent), "join-links")
 
     split = linked.filter(~F.col("whole")).select("node", "root")
