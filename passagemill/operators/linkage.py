@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from passagemill.shipping import ship_package
 TITLE_SIMILARITY, MIN_TITLE = 0.92, 20
 #: Titles of a block, on average; a block of records is compared with a block of entries in one task, _ROWS records at a time.
 _BLOCK, _ROWS = 4096, 256
+#: Titles of more characters are not looked up with one character left out, which costs the square of their length; they are compared in blocks.
+_LONGEST = 500
 #: Classes that characters are counted in (ASCII ones apart) and the count up to which each class is compared by itself.
 _CHARACTERS, _LEVELS = 128, 32
 
@@ -62,29 +65,53 @@ def closest_titles(a: list[str], b: list[str], threshold: float) -> list[tuple[s
 
 
 def _blocks(titles: DataFrame, band: Column) -> tuple[DataFrame, dict[int, int]]:
-    """Distinct titles with their length band and block, and the number of blocks of each band."""
-    titles = titles.select("title").distinct().withColumn("band", band)
+    """Titles with their length band and block, and the number of blocks of each band."""
+    titles = titles.select("title").withColumn("band", band)
     blocks = {r["band"]: -(-r["count"] // _BLOCK) for r in titles.groupBy("band").count().collect()}
     return titles, blocks
 
 
-def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TITLE_SIMILARITY) -> DataFrame:
-    """(record, key, ratio): the entry most similar to each title by the Ratcliff-Obershelp ratio, at least ``threshold``.
+def _stored(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once and kept on the executors' disks as long as they are referred to."""
+    return rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+
 
-    The ratio is 2 * matches / (len + len), so partners lie within a length
-    band, here the own or a neighbouring step of a geometric scale, and have at
-    least as many characters in common as the ratio has matches. Every pair of
-    distinct titles of such bands is held against that bound, block by block;
-    the ratio is computed in falling order of the bound until no other entry
-    can reach the best. No similar pair is lost.
+def _without_one(titles: DataFrame, hashed: str) -> DataFrame:
+    """(``hashed``, short): the hash of each title with that of every string that is the title less one character.
+
+    Of a run of equal characters any one leaves the same string, so only the
+    first is left out.
     """
-    ship_package(records.sparkSession)
+    at = titles.select(hashed, "title", F.explode(F.sequence(F.lit(1), F.length("title"))).alias("at"))
+    first = (F.col("at") == 1) | (F.substring("title", F.col("at"), F.lit(1)) != F.substring("title", F.col("at") - 1, F.lit(1)))
+    return at.filter(first).select(hashed, F.xxhash64(F.overlay("title", F.lit(""), F.col("at"), F.lit(1))).alias("short"))
+
+
+def _at_most_one_off(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): every title of ``left`` up to _LONGEST with every one of ``right`` that is equal or has one character more or less.
+
+    Titles meet by 64-bit hashes; a collision adds a pair that is further off.
+    """
+    a = left.filter(F.length("title") <= _LONGEST).select("title", F.xxhash64("title").alias("x"))
+    b = right.select("title", F.xxhash64("title").alias("y"))
+    longer = b.filter(F.length("title").between(MIN_TITLE + 1, _LONGEST + 1))
+    # Sizes are estimated from files, in which such columns shrink much and titles are not yet taken apart, so nothing may be broadcast by them.
+    of_a, of_b = a.withColumnRenamed("title", "a").hint("shuffle_hash"), b.withColumnRenamed("title", "b").hint("shuffle_hash")
+    less = a.select("x", F.col("x").alias("y")).unionByName(_without_one(a, "x").withColumnRenamed("short", "y")).join(of_b, "y").join(of_a, "x")
+    more = _without_one(longer, "y").withColumnRenamed("short", "x").join(of_a, "x").join(of_b, "y")
+    return less.select("a", "b").unionByName(more.select("a", "b"))
+
+
+def _compared(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame | None:
+    """(a, b, ratio) as of ``closest_titles``, block by block; None if ``left`` has no rows."""
+    spark = left.sparkSession
     band = F.floor(F.log(F.length("title").cast("double")) / math.log((2 - threshold) / threshold + 1e-6)).cast("int")
-    left, left_blocks = _blocks(records.filter(F.length("title") >= MIN_TITLE), band)
-    right, right_blocks = _blocks(entries.filter(F.length("title") > 0), band)
+    left, left_blocks = _blocks(left, band)
+    if not left_blocks:
+        return None
+    right, right_blocks = _blocks(right, band)
     # Each (band of the record, band of the entry, block of the record, block of the entry) is one group.
     groups = [(p, q, i, j) for p in left_blocks for q in (p - 1, p, p + 1) for i in range(left_blocks[p]) for j in range(right_blocks.get(q, 0))]
-    spark = records.sparkSession
 
     def dealt(titles: DataFrame, blocks: dict[int, int], own: str, block: str) -> DataFrame:
         named = F.broadcast(spark.createDataFrame([(n, *g) for n, g in enumerate(groups)], "g long, p int, q int, i int, j int"))
@@ -96,12 +123,48 @@ def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TI
         found = closest_titles(a["title"].tolist(), b["title"].tolist(), threshold) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["a", "b", "ratio"]).astype({"a": object, "b": object, "ratio": float})
 
-    near = dealt(left, left_blocks, "p", "i").groupBy("g").cogroup(dealt(right, right_blocks, "q", "j").groupBy("g")).applyInPandas(compare, "a string, b string, ratio double")
+    return dealt(left, left_blocks, "p", "i").groupBy("g").cogroup(dealt(right, right_blocks, "q", "j").groupBy("g")).applyInPandas(compare, "a string, b string, ratio double")
+
+
+def _most_similar(titles: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """(title, key, ratio), one row for each title of ``titles`` that has a similar entry."""
+    ship_package(titles.sparkSession)
+
+    def rate(batches):
+        for rows in batches:
+            yield rows.assign(ratio=[SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(rows["a"], rows["b"], strict=True)])
+
+    left = _stored(titles.select("title").filter(F.length("title") >= MIN_TITLE).distinct())
+    right = _stored(entries.select("title").filter(F.length("title") > 0).distinct())
+    # A title two or more characters off has a ratio of at most 2 n / (2 n + 2), that of n + 2 characters which hold all n of the record's.
+    size = F.length("a")
+    rated = _at_most_one_off(left, right).mapInPandas(rate, "a string, b string, ratio double").filter((F.col("ratio") >= threshold) & (F.col("ratio") > size / (size + 1)))
+    near = _stored(rated)
+    size = F.length("title")
+    rest = left.join(near.select(F.col("a").alias("title")).hint("merge"), "title", "left_anti").filter((size > _LONGEST) | (size / (size + 1) >= threshold))
+    others = _compared(rest, right, threshold)
+    near = near if others is None else near.unionByName(others)
     one = Window.partitionBy("b").orderBy(F.desc("cited"), "pos")
     named_entries = entries.select("key", "cited", "pos", F.col("title").alias("b")).withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
     best = Window.partitionBy("a").orderBy(F.desc("ratio"), F.desc("cited"), "pos")
-    chosen = near.join(named_entries, "b").withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(F.col("a").alias("title"), "key", "ratio")
-    return records.filter(F.length("title") >= MIN_TITLE).select("record", "title").join(chosen, "title").select("record", "key", "ratio")
+    return near.join(named_entries.hint("merge"), "b").withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(F.col("a").alias("title"), "key", "ratio")
+
+
+def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TITLE_SIMILARITY) -> DataFrame:
+    """(record, key, ratio): the entry most similar to each title by the Ratcliff-Obershelp ratio, at least ``threshold``.
+
+    Entries that equal a title, or have one character more or less, are found
+    by joins, and settle it if nothing further off can reach the best of them.
+    Only the other titles are held against all entries: the ratio is
+    2 * matches / (len + len), so partners lie within a length band, here the
+    own or a neighbouring step of a geometric scale, and have at least as many
+    characters in common as the ratio has matches. Every pair of distinct
+    titles of such bands is held against that bound, block by block; the ratio
+    is computed in falling order of the bound until no other entry can reach
+    the best. No similar pair is lost.
+    """
+    records, entries = _stored(records.select("record", "title")), _stored(entries.select("key", "cited", "pos", "title"))
+    return records.join(_most_similar(records, entries, threshold).hint("merge"), "title").select("record", "key", "ratio")
 
 
 def link_cascade(records: DataFrame, entries: DataFrame) -> DataFrame:

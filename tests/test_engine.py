@@ -126,6 +126,53 @@ def test_similar_title_takes_every_part(spark, tmp_path):
     assert {r["record"]: r["key"] for r in library_queries.similar_title(spark, str(tmp_path)).collect()} == {k: k for k in range(150, 260)}
 
 
+def _seen_by_blocks(monkeypatch):
+    """The titles that are compared in blocks, call by call."""
+    seen, blocks = [], linkage._blocks
+
+    def recorded(titles, band):
+        seen.append({r["title"] for r in titles.select("title").collect()})
+        return blocks(titles, band)
+
+    monkeypatch.setattr(linkage, "_blocks", recorded)
+    return seen
+
+
+def test_similar_titles_one_character_off_are_not_compared_with_all(spark, monkeypatch):
+    names = [f"large ring standard {n}" for n in range(1000, 1060)]
+    records = spark.createDataFrame([(n, x + "s") for n, x in enumerate(names)], "record long, title string")
+    entries = spark.createDataFrame([(n, False, n, x) for n, x in enumerate(names)], "key long, cited boolean, pos long, title string")
+    seen = _seen_by_blocks(monkeypatch)
+    assert {r["record"]: r["key"] for r in linkage.similar_titles(records, entries).collect()} == {n: n for n in range(60)}
+    assert not any(seen)
+    far = spark.createDataFrame([(100, "large ring standard 10x9s"), (101, "another title altogether")], "record long, title string")
+    assert {r["record"]: r["key"] for r in linkage.similar_titles(records.union(far), entries).collect()} == {n: n for n in range(60)} | {100: 9}
+    assert seen[1] == {"large ring standard 10x9s", "another title altogether"}
+
+
+@pytest.mark.parametrize("longest", [500, 26])
+def test_similar_titles_near_by_brute_force(spark, monkeypatch, longest):
+    monkeypatch.setattr(linkage, "_LONGEST", longest)
+    r = random.Random(6)
+    entries, records = [], []
+    for k in range(120):
+        x = "".join(r.choice(("ab", "aé日", "abcdefgh ")[k % 3]) for _ in range(r.randrange(19, 31)))
+        for _ in range(2):
+            y = list(x)
+            for _ in range(r.choice((0, 1, 1, 1, 2))):
+                at = r.randrange(len(y))
+                y[at] = r.choice(["", y[at] * 2, y[at] + "a"])
+            entries.append((len(entries), len(entries) % 3 == 0, -len(entries), "".join(y)))
+        records.append((k, x))
+    wanted = {}
+    for n, x in records:
+        found = min((-SequenceMatcher(None, x, y, autojunk=False).ratio(), not cited, pos, key) for key, cited, pos, y in entries)
+        if len(x) >= linkage.MIN_TITLE and -found[0] >= linkage.TITLE_SIMILARITY:
+            wanted[n] = (found[3], -found[0])
+    got = linkage.similar_titles(spark.createDataFrame(records, "record long, title string"), spark.createDataFrame(entries, "key long, cited boolean, pos long, title string"))
+    assert len(wanted) > 80 and {row["record"]: (row["key"], row["ratio"]) for row in got.collect()} == wanted
+
+
 def test_vector_table(spark):
     chunks = spark.createDataFrame([(0, "h1", "A.", "x"), (1, "h2", "B.", "y"), (2, "h2", "B.", "y")], "pos long, text_hash string, header string, text string")
     store = spark.createDataFrame([("h1", [1.0]), ("h9", [2.0])], "text_hash string, vector array<float>")
