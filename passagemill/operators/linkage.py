@@ -167,14 +167,20 @@ def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TI
     return records.join(_most_similar(records, entries, threshold).hint("merge"), "title").select("record", "key", "ratio")
 
 
+def _with_key(rows: DataFrame, by: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the key of their ``by`` in ``keys`` (by, key) as ``name``, or null; rows without a value are dealt out by their record."""
+    spread = F.when(F.coalesce(F.col(by), F.lit("")) == "", F.xxhash64("record")).otherwise(F.lit(0).cast("long"))
+    keyed = keys.select(F.col(by), F.col("key").alias(name), F.lit(0).cast("long").alias("_spread"))
+    return rows.withColumn("_spread", spread).join(keyed.hint("merge"), [by, "_spread"], "left").drop("_spread")
+
+
 def link_cascade(records: DataFrame, entries: DataFrame) -> DataFrame:
-    """(record, key, matched_by): by DOI, then by exact title, then by similar title; titles are normalised."""
-    by_doi = pick(entries, "doi").withColumnRenamed("key", "_doi_key")
-    by_title = pick(entries, "title").withColumnRenamed("key", "_title_key")
-    exact = records.join(by_doi, "doi", "left").join(by_title, "title", "left")
-    open_records = exact.filter(F.col("_doi_key").isNull() & F.col("_title_key").isNull()).select("record", "title")
-    similar = similar_titles(open_records, entries).select("record", F.col("key").alias("_similar_key"))
-    every = exact.join(similar, "record", "left")
+    """(record, key, matched_by) for each record: by DOI, then by exact title, then by similar title; titles are normalised."""
+    records, entries = _stored(records.select("record", "doi", "title")), _stored(entries.select("key", "doi", "title", "cited", "pos"))
+    found = _with_key(records, "doi", pick(entries, "doi"), "_doi_key")
+    found = _with_key(found.withColumn("title", F.when(F.col("_doi_key").isNull(), F.col("title"))), "title", pick(entries, "title"), "_title_key")
+    found = found.withColumn("title", F.when(F.col("_title_key").isNull(), F.col("title")))
+    every = _with_key(found, "title", _most_similar(found, entries, TITLE_SIMILARITY), "_similar_key")
     key = F.coalesce("_doi_key", "_title_key", "_similar_key")
     how = F.when(F.col("_doi_key").isNotNull(), "doi").when(F.col("_title_key").isNotNull(), "title").when(F.col("_similar_key").isNotNull(), "similar title")
     return every.select("record", key.alias("key"), how.alias("matched_by"))

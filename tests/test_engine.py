@@ -173,6 +173,19 @@ def test_similar_titles_near_by_brute_force(spark, monkeypatch, longest):
     assert len(wanted) > 80 and {row["record"]: (row["key"], row["ratio"]) for row in got.collect()} == wanted
 
 
+def test_link_cascade_compares_open_titles_only_and_keeps_each_record_once(spark, monkeypatch):
+    names = [f"large ring standard {n}" for n in range(1000, 1040)]
+    entries = spark.createDataFrame([(n, f"10.1/{n}" if n % 8 == 0 else None, x, False, n) for n, x in enumerate(names)], "key long, doi string, title string, cited boolean, pos long")
+    rows = [(n, f"10.1/{n}" if n % 8 == 0 else None, "another title altogether" if n % 8 == 0 else x + "s" * (n % 2)) for n, x in enumerate(names)]
+    rows += [(1, None, names[1] + "s"), (1, None, None), (None, "", names[3] + "s"), (90, None, "another title altogether")]
+    seen = _seen_by_blocks(monkeypatch)
+    got = linkage.link_cascade(spark.createDataFrame(rows, "record long, doi string, title string"), entries).collect()
+    wanted = [(n, n, "doi" if n % 8 == 0 else "title" if n % 2 == 0 else "similar title") for n in range(40)]
+    wanted += [(1, 1, "similar title"), (1, None, None), (None, 3, "similar title"), (90, None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
+    assert seen[0] == {"another title altogether"}
+
+
 def test_vector_table(spark):
     chunks = spark.createDataFrame([(0, "h1", "A.", "x"), (1, "h2", "B.", "y"), (2, "h2", "B.", "y")], "pos long, text_hash string, header string, text string")
     store = spark.createDataFrame([("h1", [1.0]), ("h9", [2.0])], "text_hash string, vector array<float>")
