@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
+import tempfile
+import uuid
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import text as T
@@ -22,6 +25,8 @@ _LONGEST = 500
 #: Classes that characters are counted in (ASCII ones apart) and the count up to which each class is compared by itself.
 _CHARACTERS, _LEVELS = 128, 32
 
+_written: list[str] = []
+
 
 def pick(candidates: DataFrame, by: str) -> DataFrame:
     """(by, key): among entries (by, key, cited, pos) of one value a cited one if there is one, else the first."""
@@ -72,8 +77,31 @@ def _blocks(titles: DataFrame, band: Column) -> tuple[DataFrame, dict[int, int]]
 
 
 def _stored(rows: DataFrame) -> DataFrame:
-    """``rows``, computed once and kept on the executors' disks as long as they are referred to."""
-    return rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    """``rows``, written once as Parquet below spark.checkpoint.dir and read again.
+
+    Without that folder a temporary one is used on a local master; on any other
+    the rows stay as they are, to be computed at each use.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            return rows
+        local = tempfile.mkdtemp(prefix="passagemill-")
+        atexit.register(shutil.rmtree, local, True)
+        folder = f"file://{local}"
+    rows.write.parquet(path := f"{folder}/titles-{uuid.uuid4().hex}")
+    _written.append(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def release_stored(spark: SparkSession) -> None:
+    """Delete all tables that similar titles were sought in; call it once the results have been stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def _without_one(titles: DataFrame, hashed: str) -> DataFrame:
@@ -169,9 +197,11 @@ def similar_titles(records: DataFrame, entries: DataFrame, threshold: float = TI
 
 def _with_key(rows: DataFrame, by: str, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` with the key of their ``by`` in ``keys`` (by, key) as ``name``, or null; rows without a value are dealt out by their record."""
-    spread = F.when(F.coalesce(F.col(by), F.lit("")) == "", F.xxhash64("record")).otherwise(F.lit(0).cast("long"))
-    keyed = keys.select(F.col(by), F.col("key").alias(name), F.lit(0).cast("long").alias("_spread"))
-    return rows.withColumn("_spread", spread).join(keyed.hint("merge"), [by, "_spread"], "left").drop("_spread")
+    # One column: Spark would take a constant second one out of the join, and with it the dealing out.
+    blank = F.coalesce(F.col(by), F.lit("")) == ""
+    value = F.when(blank, F.concat(F.lit("\0"), F.xxhash64("record").cast("string"))).otherwise(F.col(by))
+    keyed = keys.select(F.col(by).alias("_value"), F.col("key").alias(name)).hint("merge")
+    return rows.withColumn("_value", value).join(keyed, "_value", "left").withColumn(name, F.when(~blank, F.col(name))).drop("_value")
 
 
 def link_cascade(records: DataFrame, entries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,6 +187,25 @@ def test_link_cascade_compares_open_titles_only_and_keeps_each_record_once(spark
     assert seen[0] == {"another title altogether"}
 
 
+def test_rows_without_a_value_do_not_meet_in_one_partition(spark):
+    rows = spark.range(4000).select(F.col("id").alias("record"), F.lit(None).cast("string").alias("doi"))
+    keys = spark.createDataFrame([("10.1/a", 1)], "doi string, key long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = linkage._with_key(rows, "doi", keys, "_key").withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.count("*").alias("n"), F.count("_key").alias("hits")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n"] for r in found) == 4000 and max(r["n"] for r in found) < 2000 and not any(r["hits"] for r in found)
+
+
+def test_stored_tables_are_released(spark):
+    kept = linkage._stored(spark.range(5).select(F.struct("id").alias("record")))
+    path = Path(linkage._written[-1].removeprefix("file:"))
+    assert kept.count() == 5 and path.is_dir()
+    linkage.release_stored(spark)
+    assert not path.exists() and not linkage._written
+
+
 def test_vector_table(spark):
     chunks = spark.createDataFrame([(0, "h1", "A.", "x"), (1, "h2", "B.", "y"), (2, "h2", "B.", "y")], "pos long, text_hash string, header string, text string")
     store = spark.createDataFrame([("h1", [1.0]), ("h9", [2.0])], "text_hash string, vector array<float>")
